@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import add_columns
 
 #: Most rows that one task sorts, about.
-TASK_ROWS = 1 << 20
+TASK_ROWS = 1 << 18
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
