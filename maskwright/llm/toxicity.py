@@ -27,6 +27,9 @@ MAX_LABELLED = 40_000
 STARTS = (4, 5, 6, 7, 8)
 #: Evidence (log-likelihood ratio) that a term needs: a million chance terms give about none.
 LEAST_EVIDENCE = 18.0
+#: Share of a term's contexts that are in toxic documents, at least. Below the second figure a
+#: term is a hint: HINT_CHANCE is too little for one match, but not for two.
+LEAST_SHARE, PURE_SHARE, HINT_CHANCE = 0.8, 0.97, 0.4
 
 #: Word classes of the grammar: fixed word lists in four languages.
 INSULTS = (
@@ -121,7 +124,7 @@ class Grammar:
         """``terms``: a word followed by ``$``, or a word's start, with the chance of toxicity."""
         import ahocorasick
 
-        self.terms, self.lengths = terms, sorted({len(t) for t in terms if t[-1] != "$"})
+        self.terms, self.lengths = terms, sorted({len(t) for t in terms if t[-1] != "$"}, reverse=True)
         self.classes = {w: c for c, ws in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS)) for w in ws}
         self.classes |= dict.fromkeys(QUOTES, "quote")
         self.find = ahocorasick.Automaton()
@@ -187,23 +190,26 @@ def held_out() -> F.Column:
 def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Terms that set toxic documents apart, each with its smoothed chance.
 
-    Of terms that say the same, the one with most evidence stays, then the longest; what a
-    chosen start covers is left out. Seed words stay unless the labels speak against them.
+    ``counts`` has a term's contexts in toxic and in clean documents; toxic and clean are
+    those of all words.
+
+    Pure terms come first, then hints. Of terms that say the same, the one with most evidence
+    stays, then the longest; what a chosen start covers is left out. Seed words stay unless the labels speak against them.
     """
     rate = toxic / max(1, toxic + clean)
     scored = []
     for t, (p, n) in counts.items():
-        share = p / (p + n)
-        if p >= 3 and share > 0.8 and 0 < rate < 1:
+        share = p / max(1, p + n)
+        if p >= 3 and share >= LEAST_SHARE and 0 < rate < 1:
             ratio = p * math.log(share / rate) + (n * math.log((1 - share) / (1 - rate)) if n else 0)
             if ratio >= LEAST_EVIDENCE:
-                scored.append((-ratio, -len(t), t))
+                scored.append((share < PURE_SHARE, -ratio, -len(t), t))
     out: dict[str, float] = {}
-    for _, _, t in sorted(scored):
+    for hint, _, _, t in sorted(scored):
         word = t.rstrip("$")
         if not any(word[:k] in out for k in range(1, len(word) + 1)):
             p, n = counts[t]
-            out[t] = (p + 0.5) / (p + n + 1)
+            out[t] = HINT_CHANCE if hint else (p + 0.5) / (p + n + 1)
     for word in INSULTS:
         p, n = counts.get(word + "$", (0, 0))
         chance = (p + 4 * 0.85) / (p + n + 4)
@@ -222,16 +228,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     known = known.agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").where(~held_out())
     known = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(max_labelled).select("doc_id", "toxic")
     some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    words = some.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
-    words = words.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
+    # A word counts once for each word before it, so that copies of a text add nothing.
+    spelled = some.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
+    pairs = spelled.select("toxic", F.explode(F.array_distinct(F.transform("w", lambda x, i: F.struct(
+        x.alias("word"), F.when(i > 0, F.get("w", F.greatest(i - 1, F.lit(0)))).otherwise("").alias("before"))))).alias("p"))
+    pairs = pairs.groupBy("p.word", "p.before").agg(F.max("toxic").alias("p"), F.max(1 - F.col("toxic")).alias("n"))
+    words = pairs.groupBy("word").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     starts = [F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in STARTS]
     terms = words.select("p", "n", F.explode(F.array(F.concat("word", F.lit("$")), *starts)).alias("term"))
     terms = terms.where("term IS NOT NULL").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    # What comes to the driver: seed words, and terms that are nearly pure and frequent enough.
-    terms = terms.where((F.col("p") >= 3) & (F.col("p") > 4 * F.col("n")) | F.col("term").isin([w + "$" for w in INSULTS]))
-    sizes = {r["toxic"]: r["n"] for r in some.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    chosen = choose_terms({r["term"]: (r["p"], r["n"]) for r in terms.collect()}, toxic, clean)
+    # What comes to the driver: seed words, all words' sums, and terms that are nearly pure and frequent enough.
+    pure = (F.col("p") >= 3) & (F.col("p") >= LEAST_SHARE * (F.col("p") + F.col("n")))
+    terms = terms.where(pure | F.col("term").isin([w + "$" for w in INSULTS])).unionByName(
+        words.agg(F.lit("").alias("term"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
+    counts = {r["term"]: (r["p"], r["n"]) for r in terms.collect()}
+    chosen = choose_terms(counts, *counts.pop(""))
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar, counts = Grammar(chosen), {}
