@@ -126,59 +126,60 @@ class PieceEncoder:
         self.pre = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.odd = re.compile(r" (?:\s|\Z)").search
         self.cut = re.compile(r" (?=\S)").split
-        self.head: dict[str, bytes] = {}
-        self.piece: dict[str, bytes] = {}
-        self.token: dict[str, bytes] = {}
         # The printable stand-ins of bytes in byte-level vocabularies: visible Latin-1
         # characters stand for themselves, the others, in order, for U+0100 upwards.
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.shown = {b: b if b in plain else next(rest) for b in range(256)}
+        self.space = chr(self.shown[32])
         self.bpe = self.tokenizer.model.tokenize
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.token = _Memo(self._token)
+        self.head = _Memo(lambda p: self._piece("", p))
+        self.piece = _Memo(lambda p: self._piece(" ", p))
 
-    def _ids(self, token: str) -> bytes:
+    def _token(self, token: str) -> bytes:
         """Ids of one pre-token, by the library's BPE model."""
-        got = self.token.get(token)
-        if got is None:
+        if token.isascii() and token[1:].isalpha() and token[0] == " ":
+            shown = self.space + token[1:]
+        else:
             shown = token.encode("utf-8", "replace").decode("latin-1").translate(self.shown)
-            got = self.token[token] = b"".join([t.id.to_bytes(4, "little") for t in self.bpe(shown)])
-        return got
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.bpe(shown)])
 
-    def _learn(self, pieces: set[str], lead: str, memo: dict[str, bytes]) -> None:
-        if len(self.token) > MEMO:
-            self.token.clear()
-        ids = self._ids
-        for p in pieces:
-            if p.isalpha():
-                memo[p] = ids(lead + p)
-            elif p[-1:] in (",", ".") and p[:-1].isalpha():
-                memo[p] = ids(lead + p[:-1]) + ids(p[-1])
-            else:
-                memo[p] = b"".join(map(ids, self.pre(lead + p)))
+    def _piece(self, lead: str, p: str) -> bytes:
+        if p.isalpha():
+            return self.token[lead + p]
+        if p[-1:] in (",", ".") and p[:-1].isalpha():
+            return self.token[lead + p[:-1]] + self.token[p[-1]]
+        return b"".join(map(self.token.__getitem__, self.pre(lead + p)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        if len(self.piece) > MEMO or len(self.head) > MEMO:
-            self.piece, self.head = {}, {}
-        cuts = [(self.cut(t) if self.odd(t) else t.split(" ")) if t else [] for t in texts]
-        got = [list(map(self.piece.get, c[1:])) for c in cuts]
-        lacks = {p for c, g in zip(cuts, got) if None in g for p, x in zip(c[1:], g) if x is None}
-        if lacks:
-            self._learn(lacks, " ", self.piece)
-        heads = {c[0] for c in cuts if c}.difference(self.head)
-        if heads:
-            self._learn(heads, "", self.head)
-        get, out = self.piece.__getitem__, []
-        for c, g in zip(cuts, got):
-            if not c:
+        for memo in (self.token, self.head, self.piece):
+            if len(memo) > MEMO:
+                memo.clear()
+        out, get = [], self.piece.__getitem__
+        for t in texts:
+            if not t:
                 out.append(b"")
                 continue
-            if None in g:
-                g = map(get, c[1:])
-            out.append(self.head[c[0]] + b"".join(g))
+            first, *rest = self.cut(t) if self.odd(t) else t.split(" ")
+            out.append(self.head[first] + b"".join(map(get, rest)))
         return out
 
 
+class _Memo(dict):
+    """What ``make`` gives for a key, kept."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        got = self[key] = self.make(key)
+        return got
+
+
 def write_token_files(
     df: DataFrame,
     path: str,
