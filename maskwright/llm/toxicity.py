@@ -230,9 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     # A word counts once for each word before it, so that copies of a text add nothing.
     spelled = some.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
-    pairs = spelled.select("toxic", F.explode(F.array_distinct(F.transform("w", lambda x, i: F.struct(
-        x.alias("word"), F.when(i > 0, F.get("w", F.greatest(i - 1, F.lit(0)))).otherwise("").alias("before"))))).alias("p"))
-    pairs = pairs.groupBy("p.word", "p.before").agg(F.max("toxic").alias("p"), F.max(1 - F.col("toxic")).alias("n"))
+    follows = F.transform("w", lambda x, i: F.concat(F.when(i > 0, F.get("w", F.greatest(i - 1, F.lit(0)))).otherwise(""), F.lit(" "), x))
+    pairs = spelled.select("toxic", F.explode(F.array_distinct(follows)).alias("pair"))
+    pairs = pairs.groupBy("pair").agg(F.max("toxic").alias("p"), F.max(1 - F.col("toxic")).alias("n"))
+    pairs = pairs.withColumn("word", F.substring_index("pair", " ", -1))
     words = pairs.groupBy("word").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     starts = [F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in STARTS]
     terms = words.select("p", "n", F.explode(F.array(F.concat("word", F.lit("$")), *starts)).alias("term"))
