@@ -6,6 +6,7 @@ same text then works on a column, on a cell of an array, and on a lambda variabl
 
 from __future__ import annotations
 
+import re
 from itertools import count
 
 _fresh = count()
@@ -30,6 +31,24 @@ def let(value: str, body) -> str:
     return f"element_at(transform(array({value}), {v} -> {body(v)}), 1)"
 
 
+_first = re.compile(r"(?:\\b|\(\?<![^)]*\))(?:\(\?:)?(\\d|\[(?:[^\]\\]|\\.)+\]|[A-Za-z0-9])(?![?*|])")
+
+
+def quick(pattern: str) -> str:
+    """The pattern, with a look at the first character before the border or look-behind it starts with.
+
+    Where a match must start with a certain class of characters, most places then fail at
+    once, without the dearer test. Patterns with alternatives at the top are left alone.
+    """
+    m = _first.match(pattern)
+    depth = top = 0
+    for k, c in enumerate(pattern):
+        escaped = k and pattern[k - 1] == "\\" and not (k > 1 and pattern[k - 2] == "\\")
+        depth += (c == "(") - (c == ")") if not escaped else 0
+        top += c == "|" and (depth == 0 or depth == 1 and bool(m) and "(?:" in m.group())
+    return f"(?={m.group(1)}){pattern}" if m and not top else pattern
+
+
 def matches(text: str, pattern: str, groups: tuple[int, ...] = (), flags: str = "(?U)") -> str:
     """Leftmost non-overlapping matches: array of struct(at, v, g1, ...), offsets in code points.
 
@@ -37,7 +56,7 @@ def matches(text: str, pattern: str, groups: tuple[int, ...] = (), flags: str =
     lengths of the pieces between matches, which ``split`` gives by the same pattern, so no
     character is reserved as a marker. Texts without a match are matched once and not split.
     """
-    rx = quoted(flags + pattern)
+    rx = quoted(flags + quick(pattern))
 
     def placed(found: str) -> str:
         acc, i, x = name("acc"), name("i"), name("x")

@@ -139,7 +139,7 @@ _RU_LEAD = (
     r"(?iu:меня зовут|зовут|моё имя|мое имя|господин|госпожа|г-н|г-жа|гражданин|гражданка|уважаемый|уважаемая|фамилия|по фамилии"
     r"|подпись|клиент|пациент|сотрудник)\s+"
 )
-_EN_LEAD = r"(?i:my name is|i am|i'm|sincerely,?|best regards,?|regards,?|dear)\s+"
+_EN_LEAD = r"(?=[misbrdMISBRDſİı])(?i:my name is|i am|i'm|sincerely,?|best regards,?|regards,?|dear)\s+"
 
 
 def _among(v: str, words) -> str:
@@ -151,11 +151,11 @@ PERSON = [
     D("names", "PERSON", rf"(?<!\w){_RU}\s+{_RU}{_PATR}(?!\w)", 0.9),
     D("names", "PERSON", rf"(?<!\w){_RU}{_PATR_ALONE}(?!\w)", 0.82),
     D("names", "PERSON", rf"({_RU_LEAD})({_RU}(?:\s+{_RU}){{0,2}})()", 0.85, grouped=True),
-    D("names", "PERSON", rf"(?<!\w)({_RU})\s+({_RU})(?!\w)", 0.8, groups=(1,), where=_among("{g1}", names.RU_NAMES)),
+    D("names", "PERSON", rf"(?=[А-ЯЁ])(?<!\w)({_RU})\s+({_RU})(?!\w)", 0.8, groups=(1,), where=_among("{g1}", names.RU_NAMES)),
     D("names", "PERSON", rf"(\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Madam)\.?\s+)({_EN}(?:\s+{_EN})?)()", 0.85, grouped=True,
       prefilter=("Mr", "Ms", "Miss", "Dr", "Prof", "Sir", "Madam")),
     D("names", "PERSON", rf"({_EN_LEAD})({_EN}(?:\s+{_EN}){{0,2}})()", 0.85, grouped=True),
-    D("names", "PERSON", rf"\b({_EN})\s+({_EN})\b", 0.8, groups=(1, 2),
+    D("names", "PERSON", rf"(?=[A-Z])\b({_EN})\s+({_EN})\b", 0.8, groups=(1, 2),
       where=_among("{g1}", names.EN_NAMES) + " AND NOT " + _among("{g2}", names.NOT_SURNAMES.split())),
 ]
 PERSON_SINGLE = [
@@ -182,7 +182,7 @@ SECRETS = [
     D("stripe_key", "STRIPE_KEY", r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}\b", 0.97, prefilter=("k_live_", "k_test_")),
     D("stripe_webhook", "STRIPE_WEBHOOK", r"\bwhsec_[A-Za-z0-9]{32,}\b", 0.96, prefilter=("whsec_",)),
     D("sendgrid_key", "SENDGRID_KEY", r"\bSG\.[A-Za-z0-9_\-]{22}\.[A-Za-z0-9_\-]{43}", 0.97, prefilter=("SG.",)),
-    D("twilio_sid", "TWILIO_SID", r"\bAC[0-9a-fA-F]{32}\b", 0.9),
+    D("twilio_sid", "TWILIO_SID", r"\bAC[0-9a-fA-F]{32}\b", 0.9, prefilter=("AC",)),
     D("mailgun_key", "MAILGUN_KEY", r"\bkey-[0-9a-f]{32}\b", 0.92, prefilter=("key-",)),
     D("telegram_bot", "TELEGRAM_BOT_TOKEN", r"\b\d{8,10}:[A-Za-z0-9_\-]{35}(?![A-Za-z0-9_\-])", 0.95, prefilter=(":",)),
     D("discord_token", "DISCORD_TOKEN", r"\b[MNO][A-Za-z0-9_\-]{23,25}\.[A-Za-z0-9_\-]{6}\.[A-Za-z0-9_\-]{27,38}", 0.9, prefilter=(".",)),

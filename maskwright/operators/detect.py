@@ -22,16 +22,11 @@ def _confidence(d: Detector, value: str, context: str) -> str:
 
 
 #: Tests that a whole group of detectors shares: without such a character none of them can match.
-NEEDS = {"digit": r"(?U)\d", "cyrillic": "[А-яЁё]"}
+NEEDS = {"digit": r"\p{Nd}", "cyrillic": "[А-яЁё]"}
 
 
-def findings_of(d: Detector, number: int, text: str, least: float = 0.0) -> str:
-    """Array of the findings of one detector, before any filter.
-
-    If only a keyword can lift its findings to ``least``, texts without the keyword are not
-    searched. The keyword is then looked for without its word borders, because the window
-    before a value may cut a word.
-    """
+def findings_of(d: Detector, number: int, text: str) -> str:
+    """Array of the findings of one detector, before any filter."""
     groups = (1, 2) if d.grouped else d.groups
     x, y, z = name("x"), name("y"), name("z")
     if d.grouped:
@@ -57,20 +52,16 @@ def findings_of(d: Detector, number: int, text: str, least: float = 0.0) -> str:
         f"'confidence', {_confidence(d, f'{z}.v', context(z))}, 'detector', {quoted(d.name)}, 'ord', {number}"
     )
     out = f"transform({rows}, {z} -> named_struct({fields}))"
-    guards = [" OR ".join(f"contains({text}, {quoted(p)})" for p in d.prefilter)] if d.prefilter else []
-    if d.keyword and d.plain < least:
-        guards.append(f"{text} RLIKE {quoted('(?iU)' + d.keyword.replace(chr(92) + 'b', ''))}")
-    return f"CASE WHEN ({') AND ('.join(guards)}) THEN {out} ELSE {NONE} END" if guards else out
+    if d.prefilter:
+        out = f"CASE WHEN {' OR '.join(f'contains({text}, {quoted(p)})' for p in d.prefilter)} THEN {out} ELSE {NONE} END"
+    return out
 
 
-def all_findings(detectors: list[Detector], text: str, least: float = 0.0) -> str:
-    """Findings of all detectors, numbered by catalog order; null text has none.
-
-    Findings below ``least`` may be missing.
-    """
+def all_findings(detectors: list[Detector], text: str) -> str:
+    """Findings of all detectors, numbered by catalog order; null text has none."""
     groups: dict[str, list[str]] = {}
     for k, d in enumerate(detectors):
-        groups.setdefault(d.needs, []).append(findings_of(d, k, text, least))
+        groups.setdefault(d.needs, []).append(findings_of(d, k, text))
     each = [
         f"CASE WHEN {text} RLIKE {quoted(NEEDS[needs])} THEN concat({', '.join(own)}) ELSE {NONE} END" if needs else f"concat({', '.join(own)})"
         for needs, own in groups.items()

@@ -42,7 +42,7 @@ class Engine:
     def found_sql(self, text: str) -> str:
         """Array of resolved findings of a text. Detectors whose findings cannot pass do not run."""
         runs = [d for d in self.detectors if detect.could_pass(d, self.min_confidence, self.only, self.exclude)]
-        every = detect.all_findings(runs, text, self.min_confidence)
+        every = detect.all_findings(runs, text)
         return detect.resolved(detect.filtered(every, self.min_confidence, self.only, self.exclude, self.allowlist, self.min_severity))
 
     def masked_sql(self, text: str) -> str:

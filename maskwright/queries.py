@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.checks import CHECKS, check, entropy
+from .golden import golden, golden_sql
 from .operators import taxonomy
 from .operators.catalog import CATALOG
 from .operators.replace import partial_mask, preview
@@ -291,11 +292,11 @@ def queries() -> dict[str, Query]:
     return out | {f.__name__: f for f in (
         scan_all, check_vectors, name_entropy, stats_by_type, stats_by_lang_type, stats_rollup, min_severity_high, preset_pci, allowlist_example,
         taxonomy_types, detector_catalog, compliance_documents, audit_report, redact_documents, placeholder_numbering, restore_roundtrip, partial_names,
-        pseudonym_cards, overlap_resolution, redact_event_json, redact_supplier_columns, evaluation,
+        golden, pseudonym_cards, overlap_resolution, redact_event_json, redact_supplier_columns, evaluation,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: sql for name, (_, sql) in SCANS.items() if sql}
     out |= {f"valid_{kind}": sql for kind in _LENGTHS if (sql := _valid_sql(kind))}
-    return out | ORACLES
+    return out | ORACLES | {"golden": golden_sql()}
