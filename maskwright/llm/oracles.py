@@ -46,5 +46,35 @@ FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source
 """
 
 
+#: All pairs that share a shingle, then reachability: exact, and quick enough for small tables.
+OP4 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE
+    WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * p.c >= 80 * (i.c + j.c - p.c)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id
+)
+SELECT r.doc_id, coalesce(any_value(n.c), 0)::BIGINT AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+#: What is left after the insert, the recount and the withdrawal, each counted once.
+OP7 = """
+SELECT source, lang, 'words-2' AS tokenizer, count(*) AS n_docs,
+  sum(len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\x20\\x09-\\x0D]')))::BIGINT AS n_tokens
+FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}]') GROUP BY source, lang
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_systematic_mixing": OP10}
+    return {"op4_ngram_jaccard_join": OP4, "op7_token_counts": OP7, "op10_systematic_mixing": OP10}
