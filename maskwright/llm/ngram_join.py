@@ -4,7 +4,8 @@ With sets A and B and a wanted share of 0.8, two sets that link share a token am
 ``n - ceil(0.8 n) + 1`` of each, whatever the order of tokens. So they do under every one of
 several orders, and only pairs that share a prefix token under all of them are candidates.
 The orders put rare tokens first, by counters over all documents in tables of a fixed size,
-each order with counters and hashes of its own.
+each order with counters and hashes of its own. Beyond the first order prefixes are longer,
+and several tokens must be shared.
 
 No group is ever expanded into all its pairs:
 
@@ -14,7 +15,8 @@ No group is ever expanded into all its pairs:
 3. Only then prefixes are joined, and only between classes of *different* components: pairs
    already connected need no comparison, so large groups of near copies add none. What shares
    a prefix token under the first order is filtered by the prefixes under the others, and
-   what is left is compared exactly.
+   what is left is compared exactly: twice one partner a document, each time leaving out what
+   is connected by then, and at last all that is left.
 
 Step 3 covers every pair of classes not connected in step 2, so no link is lost. Shingles are
 64-bit hashes; two of a text's or pair's million being equal by chance is one in ten million.
@@ -49,33 +51,50 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np
 
 # --- shingles ------------------------------------------------------------------------------
 class Shingler:
-    """Distinct shingle hashes of a text, ascending; words are hashed once a memo."""
+    """Distinct shingle hashes of texts, ascending; words are hashed once a memo."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         self.memo: dict[bytes, int] = {}
         self.most = most
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def _words(self, text: str | None) -> list[int]:
         words = (text or "").encode("utf-8", "replace").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
         memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
         got = list(map(memo.get, words))
         if None in got:
-            for w in set(words):
-                if w not in memo:
-                    memo[w] = xxhash.xxh3_64_intdigest(w)
+            for w in set(words).difference(memo):
+                memo[w] = xxhash.xxh3_64_intdigest(w)
             got = list(map(memo.__getitem__, words))
-        x = np.array(got, np.uint64)
-        k = min(WORDS, len(x))
-        n = len(x) - k + 1
-        h = np.full(n, k, np.uint64)
-        for j in range(k):
-            h = (h ^ x[j : j + n]) * _MIX[0]
-            h ^= h >> np.uint64(32)
-        return np.unique(h)
+        return got
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The set of each text; the windows of all texts are hashed at once."""
+        if len(self.memo) > self.most:
+            self.memo.clear()
+        held = [self._words(t) for t in texts]
+        x = np.array([h for got in held for h in got], np.uint64)
+        h, out, at = _windows(x, WORDS), [], 0
+        for got in held:
+            n = len(got)
+            own = h[at : at + n - WORDS + 1] if n >= WORDS else _windows(x[at : at + n], n) if n else x[:0]
+            out.append(np.unique(own))
+            at += n
+        return out
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self.many([text])[0]
+
+
+def _windows(x: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each place where ``k`` words follow."""
+    n = len(x) - k + 1
+    if n <= 0:
+        return x[:0]
+    h = np.full(n, k, np.uint64)
+    for j in range(k):
+        h = (h ^ x[j : j + n]) * _MIX[0]
+        h ^= h >> np.uint64(32)
+    return h
 
 
 def jaccard_links(a: np.ndarray, b: np.ndarray) -> bool:
@@ -112,8 +131,7 @@ def count_tokens(docs: DataFrame) -> np.ndarray:
         shingles, counts = Shingler(), np.zeros((ORDERS, COUNTERS), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                held = [shingles(t) for t in batch.column(0).slice(at, 64).to_pylist()]
-                h = np.concatenate(held)
+                h = np.concatenate(shingles.many(batch.column(0).slice(at, 64).to_pylist()))
                 for k in range(ORDERS):
                     np.add.at(counts[k], _slots(h, k), 1)
         yield from _chunks(counts.reshape(-1, _CHUNK), range(ORDERS * COUNTERS // _CHUNK))
@@ -140,16 +158,37 @@ def count_tokens(docs: DataFrame) -> np.ndarray:
     return np.minimum(out, 2**31 - 1).astype(np.int32).reshape(ORDERS, COUNTERS)
 
 
-def ordered(h: np.ndarray, order: int, counts: np.ndarray) -> np.ndarray:
-    """The set's prefix under an order: rare tokens first, ties by hash."""
-    n = prefix_length(len(h))
-    key = _mixed(h, order)
-    rank = counts[order][_slots(h, order)]
-    return h[np.lexsort((key, rank))[:n]]
+def wanted(n: int) -> int:
+    """Tokens that longer prefixes must share: as many as a plain prefix has, less one, but one at least.
+
+    With ``wanted - 1`` tokens more in the prefix, linked sets share ``wanted`` there: the first
+    so many common tokens have all other common ones after them, in either set. For two sets
+    the lesser number holds.
+    """
+    return max(1, prefix_length(n) - 1)
+
+
+def prefixes(h: np.ndarray, ends: np.ndarray, order: int, counts: np.ndarray) -> list[np.ndarray]:
+    """Prefixes of sets under an order: rare tokens first, then by a hash, then by the token itself.
+
+    The first order's are plain, for the join; the others', for filters, are the longer ones.
+
+    ``h`` has the sets one after the other, each ascending, ``ends`` where each ends.
+    """
+    mixed = _mixed(h, order)
+    rank = counts[order][(mixed & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
+    key = (rank << np.uint64(32)) | (mixed >> np.uint64(32))
+    out, start = [], 0
+    for end in ends.tolist():
+        own = h[start:end]
+        size = prefix_length(len(own)) + (wanted(len(own)) - 1 if order else 0) if len(own) else 0
+        out.append(own[np.argsort(key[start:end], kind="stable")[:size]])
+        start = end
+    return out
 
 
 def describe(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, set fingerprint (f1, f2), prefix (first order), firsts (one an order), marks (16-bit prefixes of the other orders)."""
+    """doc_id, n_shingles, set fingerprint (f1, f2), prefix (first order), firsts (one an order), marks (longer prefixes of the other orders, 16 bits a token)."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
@@ -159,23 +198,23 @@ def describe(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = Shingler(), held.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                n, f1, f2, prefix, firsts, marks = [], [], [], [], [], []
-                for t in part.column(1).to_pylist():
-                    h = shingles(t)
-                    n.append(len(h))
-                    with np.errstate(over="ignore"):
-                        f1.append(int(_mixed(h, 1).sum(dtype=np.uint64).view(np.int64)))
-                        f2.append(int(np.bitwise_xor.reduce(_mixed(h, 2) * _MIX[1], initial=0).astype(np.uint64).view(np.int64)))
-                    own = [ordered(h, k, counts) for k in range(ORDERS)] if len(h) else []
-                    prefix.append(own[0].view(np.int64) if own else np.zeros(0, np.int64))
-                    firsts.append([int(p[:1].view(np.int64)[0]) for p in own])
-                    marks.append([np.unique((p >> np.uint64(48)).astype(np.uint16)).tobytes() for p in own[1:]])
-                ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                sets = shingles.many(part.column(1).to_pylist())
+                n = np.array([len(s) for s in sets])
+                h, set_ends = np.concatenate(sets), np.cumsum(n)
+                full, f1, f2 = n > 0, np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+                if len(h):
+                    starts = (set_ends - n)[full]
+                    f1[full] = np.add.reduceat(_mixed(h, 1), starts)
+                    f2[full] = np.bitwise_xor.reduceat(_mixed(h, 2) * _MIX[1], starts)
+                own = [prefixes(h, set_ends, k, counts) for k in range(ORDERS)]
+                firsts = [[int(own[k][i][:1].view(np.int64)[0]) for k in range(ORDERS)] if n[i] else [] for i in range(len(n))]
+                marks = [[(own[k][i] >> np.uint64(48)).astype(np.uint16).tobytes() for k in range(1, ORDERS)] if n[i] else [] for i in range(len(n))]
+                ends = np.cumsum([0, *map(len, own[0])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))),
+                    part.column(0), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own[0]).view(np.int64))),
                     pa.array(firsts, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.binary())),
                 ], schema=schema)
 
@@ -273,29 +312,57 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     pairs = left.join(right, F.col("x.token") == F.col("y.token")).where(
         (F.col("x.comp") < F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= SHARE * F.greatest("x.n", "y.n"))
     ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    pairs = written(_share_marks(pairs, full, of_rep), "candidates")
-    more = verify(known, pairs) if pairs.limit(1).count() else None
-    if more is not None:
-        comps = components(links.unionByName(more))
+    todo = written(pairs, "pairs-left")
+    for last in (False, False, True):
+        if todo.limit(1).count() == 0:
+            break
+        # Near copies mostly link, so one partner on either side connects most of them; pairs
+        # connected by then need no comparison. The last turn compares all that are left.
+        now = todo if last else written(_one_partner(todo), "pairs-now")
+        links = links.unionByName(written(verify(known, written(_share_marks(now, full, of_rep), "candidates")), "links"))
+        if not last:
+            comps = components(links)
+            rest = todo.join(now, ["a", "b"], "left_anti")
+            for side in ("a", "b"):
+                rest = rest.join(comps.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp")), side, "left")
+            todo = written(rest.where("coalesce(a_comp, a) <> coalesce(b_comp, b)").select("a", "b"), "pairs-left")
+    comps = components(links)
     named = described.select("doc_id", "n_shingles").join(comps, F.col("doc_id") == F.col("node"), "left")
     return named.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
+def _one_partner(pairs: DataFrame) -> DataFrame:
+    """For each document, on either side, one of its pairs, as if at random."""
+    turn = F.xxhash64("a", "b")
+    of_a = pairs.groupBy("a").agg(F.min(F.struct(turn.alias("h"), F.col("b"))).alias("m")).select("a", F.col("m.b").alias("b"))
+    of_b = pairs.groupBy("b").agg(F.min(F.struct(turn.alias("h"), F.col("a"))).alias("m")).select(F.col("m.a").alias("a"), "b")
+    return of_a.unionByName(of_b).distinct()
+
+
 def _share_marks(pairs: DataFrame, full: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs that share a prefix token under the other orders too, by 16 bits of each (which may only let more pass)."""
-    pairs = written(pairs, "order-1-pairs")
+    """Pairs that share enough prefix tokens under the other orders too.
+
+    Tokens are compared by 16 bits of each, counted as often as they occur, which may only
+    let more pairs pass.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     marks = full.select("doc_id", "n_shingles", "f1", "f2", "marks").join(ids, "doc_id").join(
         reps.select(F.col("rep").alias("doc_id"), "n_shingles", "f1", "f2"), ["doc_id", "n_shingles", "f1", "f2"], "left_semi")
-    marks = written(marks.select("doc_id", "marks").distinct(), "marks")
-    both = pairs.join(marks.select(F.col("doc_id").alias("a"), F.col("marks").alias("x")), "a")
-    both = both.join(marks.select(F.col("doc_id").alias("b"), F.col("marks").alias("y")), "b").select("a", "b", "x", "y")
+    marks = written(marks.select("doc_id", "n_shingles", "marks").distinct(), "marks")
+    both = pairs.join(marks.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("marks").alias("x")), "a")
+    both = both.join(marks.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("marks").alias("y")), "b").select("a", "b", "x", "y", F.least("n", "m").alias("n"))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lambda m: np.frombuffer(m, np.uint16)
+        of = lambda m: np.unique(np.frombuffer(m, np.uint16), return_counts=True)
+
+        def common(p: bytes, q: bytes) -> int:
+            (v, c), (w, d) = of(p), of(q)
+            _, i, j = np.intersect1d(v, w, assume_unique=True, return_indices=True)
+            return int(np.minimum(c[i], d[j]).sum())
+
         for batch in batches:
-            xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = [all(len(np.intersect1d(of(p), of(q), assume_unique=True)) for p, q in zip(x, y)) for x, y in zip(xs, ys)]
+            xs, ys, ns = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            keep = [all(common(p, q) >= wanted(n) for p, q in zip(x, y)) for x, y, n in zip(xs, ys, ns)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(shared, "a bigint, b bigint").distinct()
@@ -304,8 +371,7 @@ def _share_marks(pairs: DataFrame, full: DataFrame, reps: DataFrame) -> DataFram
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the least id stays.
 
-    Rows with a null id stay. Of rows that share the least id one stays for each distinct text
-    and set of other columns.
+    Rows with a null id stay. Of rows that share the least id one stays.
     """
     comps = near_duplicate_components(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id").distinct()
     stays = comps.where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
