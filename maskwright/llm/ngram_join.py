@@ -15,8 +15,8 @@ No group is ever expanded into all its pairs:
 3. Only then prefixes are joined, and only between classes of *different* components: pairs
    already connected need no comparison, so large groups of near copies add none. What shares
    a prefix token under the first order is filtered by the prefixes under the others, and
-   what is left is compared exactly: twice one partner a document, each time leaving out what
-   is connected by then, and at last all that is left.
+   what is left is compared exactly: a few times one partner a document, each time leaving out
+   what is connected by then, and at last all that is left.
 
 Step 3 covers every pair of classes not connected in step 2, so no link is lost. Shingles are
 64-bit hashes; two of a text's or pair's million being equal by chance is one in ten million.
@@ -44,6 +44,8 @@ COUNTERS = 1 << 19
 _CHUNK = 1 << 12
 #: Buckets of ids that tell, roughly, which texts a comparison needs: at most so many are broadcast.
 BUCKETS = 1 << 20
+#: Turns in which a document is compared with one partner on either side, before all that is left is.
+TURNS = 4
 #: Comparisons with one hub in a task, about.
 HUB_ROWS = 64
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -312,20 +314,20 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     pairs = left.join(right, F.col("x.token") == F.col("y.token")).where(
         (F.col("x.comp") < F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= SHARE * F.greatest("x.n", "y.n"))
     ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    todo = written(pairs, "pairs-left")
-    for last in (False, False, True):
+    todo = written(_share_marks(written(pairs, "order-1-pairs"), full, of_rep), "candidates")
+    for turn in range(TURNS + 1):
         if todo.limit(1).count() == 0:
             break
-        # Near copies mostly link, so one partner on either side connects most of them; pairs
-        # connected by then need no comparison. The last turn compares all that are left.
-        now = todo if last else written(_one_partner(todo), "pairs-now")
-        links = links.unionByName(written(verify(known, written(_share_marks(now, full, of_rep), "candidates")), "links"))
-        if not last:
+        # Near copies mostly link, so one partner on either side connects many of them, and what
+        # is connected by then needs no comparison. The last turn compares all that is left.
+        now = written(_one_partner(todo), "pairs-now") if turn < TURNS else todo
+        links = links.unionByName(written(verify(known, now), "links"))
+        if turn < TURNS:
             comps = components(links)
             rest = todo.join(now, ["a", "b"], "left_anti")
             for side in ("a", "b"):
                 rest = rest.join(comps.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp")), side, "left")
-            todo = written(rest.where("coalesce(a_comp, a) <> coalesce(b_comp, b)").select("a", "b"), "pairs-left")
+            todo = written(rest.where("coalesce(a_comp, a) <> coalesce(b_comp, b)").select("a", "b"), "candidates")
     comps = components(links)
     named = described.select("doc_id", "n_shingles").join(comps, F.col("doc_id") == F.col("node"), "left")
     return named.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
