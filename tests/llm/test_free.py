@@ -190,6 +190,14 @@ def test_repeated_matches_brute_force():
     assert dict(zip(ids.tolist(), counts.tolist())) == {w: len(s) for w, s in want.items() if len(s) > 1}
 
 
+def test_hidden_is_an_attribute():
+    texts = lambda html: [b.text for b in H.page_blocks(html) if not b.furniture]
+    for attr in ('style="overflow: hidden"', 'class="post hidden-print"', 'title="a hidden lake"', "data-hidden=1"):
+        assert texts(f"<body {attr}><article {attr}><p {attr}>kept</p></article></body>") == ["kept"], attr
+    for attr in ("hidden", "HIDDEN", 'id="x"\thidden', 'hidden=""', 'style="color:red; display : none"'):
+        assert texts(f"<div><p {attr}>gone</p><p>kept</p></div>") == ["kept"], attr
+
+
 # --- toxicity ------------------------------------------------------------------------------
 def test_grammar():
     g = X.Grammar({"idiot$": 0.9, "scum": 0.9})
