@@ -198,6 +198,17 @@ def test_hidden_is_an_attribute():
         assert texts(f"<div><p {attr}>gone</p><p>kept</p></div>") == ["kept"], attr
 
 
+def test_all_declared_regions_stay():
+    def text(html):
+        blocks = H.page_blocks(html)
+        return H.main_text(blocks, np.zeros(sum(b.text.count(" ") + 1 for b in blocks), bool))
+
+    assert text('<p>out</p><div class="entry-content">one one one</div><div class="entry-content">two</div>') == "one one one\ntwo"
+    assert text("<article>a a a</article><p>out</p><article>b<article class='comment'>c</article></article>") == "a a a\nb"
+    assert text('<div class="content"><p>lead</p><article>body body</article><p>end</p></div><p>out</p>') == "lead\nbody body\nend"
+    assert text("<main><header><h1>head</h1></header><p>lead</p><article>body body</article></main><p>out</p>") == "head\nlead\nbody body"
+
+
 # --- toxicity ------------------------------------------------------------------------------
 def test_grammar():
     g = X.Grammar({"idiot$": 0.9, "scum": 0.9})
