@@ -18,7 +18,7 @@ from .token_files import token_output
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return extract_main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "text", "n_chars")
 
 
 def op2_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,6 +179,21 @@ def test_extraction(spark):
     assert H.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_text_does_not_depend_on_groups(spark):
+    """A notice on five of 24 pages is cut, one on three stays, however the host is dealt out."""
+    rng = random.Random(5)
+    own = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(40))
+    notice, rare = "please read our newsletter each week for news", "this passage was quoted by three pages of the host"
+    rows, want = [], {}
+    for i in range(24):
+        t = own()
+        rows.append((i, "http://n.example/x", f"<p>{t}</p>" + f"<p>{notice}</p>" * (i < 5) + f"<p>{rare}</p>" * (10 <= i < 13)))
+        want[i] = t + f"\n{rare}" * (10 <= i < 13)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chars in (10**6, 500):
+        assert {r["page_id"]: r["text"] for r in H.extract_main_text(df, group_chars=chars).collect()} == want, chars
+
+
 def test_repeated_matches_brute_force():
     rng = np.random.default_rng(1)
     pages = [rng.integers(1, 4, n).astype(np.uint64) for n in (30, 3, 0, 40, 6, 25)]
