@@ -194,6 +194,31 @@ def test_text_does_not_depend_on_groups(spark):
         assert {r["page_id"]: r["text"] for r in H.extract_main_text(df, group_chars=chars).collect()} == want, chars
 
 
+def test_near_copies_keep_their_text(spark):
+    rng = random.Random(6)
+    own = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n)]
+    rows, want = [], {}
+
+    def page(k, host, *blocks, text=None):
+        rows.append((k, f"http://{host}.example/{k}", "".join(f"<p>{b}</p>" for b in blocks)))
+        want[k] = "\n".join(blocks if text is None else text)
+
+    base, notice, quote = own(1000), "please read our newsletter each week for news", " ".join(own(20))
+    for k in range(2):  # two pages that share 995 of 1,000 words
+        page(k, "a", " ".join(x if i % 200 else f"z{k}{i}" for i, x in enumerate(base)))
+    for k in range(2, 4):  # a passage that two pages quote
+        page(k, "b", " ".join(own(60)), quote)
+    for k in range(10, 16):  # six near copies of one page, which one more page quotes
+        page(k, "c", " ".join(f"z{k}" if i == 7 * k else x for i, x in enumerate(base)), quote)
+    page(16, "c", " ".join(own(60)), quote)
+    for k in range(20, 26):  # a page and its exact copy, among others with the same notice
+        t = " ".join(own(60)) if k != 21 else t
+        page(k, "d", t, notice, text=[t])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chars in (10**6, 3000):
+        assert {r["page_id"]: r["text"] for r in H.extract_main_text(df, group_chars=chars).collect()} == want, chars
+
+
 def test_repeated_matches_brute_force():
     rng = np.random.default_rng(1)
     pages = [rng.integers(1, 4, n).astype(np.uint64) for n in (30, 3, 0, 40, 6, 25)]
