@@ -114,6 +114,7 @@ class PieceEncoder:
     The byte-level pre-tokenizer always starts a token at a space that a non-space follows,
     so a text splits there without changing its ids. A piece is looked up, and what the memo
     lacks is cut by the pre-tokenizer's own pattern and encoded by the library in one call.
+    Texts with the content of an added token go through the library as a whole.
     """
 
     def __init__(self, path: str | None = None):
@@ -122,7 +123,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pre = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.odd = re.compile(r" (?:\s|\Z)").search
         self.cut = re.compile(r" (?=\S)").split
@@ -164,6 +165,9 @@ class PieceEncoder:
             if not t:
                 out.append(b"")
                 continue
+            if any(a in t for a in self.added):
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
             first, *rest = self.cut(t) if self.odd(t) else t.split(" ")
             out.append(self.head[first] + b"".join(map(get, rest)))
         return out

@@ -34,6 +34,17 @@ def test_encoder():
         assert np.frombuffer(raw, "<u4").tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_encoder_is_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [*HARD, "<|endoftext|>", "a <|endoftext|>b c<|endoftext|><|endoftext|> d", "<|endoftext|", "x  <|endoftext|>\n y"]
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in T.PieceEncoder().encode(texts)] == want
+    assert want[HARD.index("<|endoftext|> a")] == [50256, 257]
+
+
 def test_token_files(spark, tmp_path):
     rows = [(i * 3 % 17, t, "x") for i, t in enumerate(HARD)] + [(None, "null id", "x"), (5, "again", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, start string")
