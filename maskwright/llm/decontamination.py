@@ -3,7 +3,8 @@
 A seed is a fixed mask over token positions: some count, some are ignored. Equal hashes of a
 mask at a place in a benchmark item and a place in a document are a hit even if the tokens at
 ignored positions differ. Around each hit the two texts are compared token by token on the
-same diagonal; the best-scoring stretch counts as overlap if it is long and similar enough.
+same diagonal; the best-scoring stretch counts as overlap if it is long and similar enough,
+and else the longest one on the diagonal that is.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Seed masks: 1 counts, 0 is ignored. Each has seven ones.
-MASKS = ("1111111", "11011011101", "1101001110011", "101110010111", "10110100101011")
+#: Seed masks: 1 counts, 0 is ignored. Each has four ones: every four of five tokens. No overlap
+#: by the rule below is without a hit: a text that avoids all four masks has too few equal tokens.
+MASKS = ("1111", "10111", "11011", "11101")
 #: An overlap has so many equal tokens, or this share of a shorter item, and this share of equal tokens.
 LEAST_EQUAL, LEAST_OF_ITEM, LEAST_SHARE = 12, 0.8, 0.75
 #: Items with fewer tokens than the shortest mask are compared as a whole run of tokens.
@@ -112,7 +114,10 @@ class SeedIndex:
 
     @staticmethod
     def _stretch(x: np.ndarray, y: np.ndarray, d: int) -> tuple[int, int, int] | None:
-        """The stretch of item ``y`` on diagonal ``d`` of ``x`` with the most equal minus unequal tokens."""
+        """A stretch of item ``y`` on diagonal ``d`` of ``x`` that is an overlap, or None if there is none.
+
+        The one with the most equal minus unequal tokens if that is one, else that with the most equal tokens.
+        """
         a, b = max(0, -d), min(len(y), len(x) - d)
         if b <= a:
             return None
@@ -124,7 +129,21 @@ class SeedIndex:
         start = int(np.argmin(sums[: end + 1]))
         equal = int(same[start:end].sum())
         need = min(LEAST_EQUAL, int(np.ceil(LEAST_OF_ITEM * len(y))))
-        return (a + start, a + end, equal) if end > start and equal >= need and equal >= LEAST_SHARE * (end - start) else None
+        if end > start and equal >= need and equal >= LEAST_SHARE * (end - start):
+            return a + start, a + end, equal
+        if int(same.sum()) < need:
+            return None
+        # Running sums of +1 - share and -share: a stretch has the share if its sum is not negative.
+        # For each end, the first start whose sum is not greater has the most equal tokens.
+        count = np.concatenate([[0], np.cumsum(same)])
+        sums = count - LEAST_SHARE * np.arange(len(count))
+        starts = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")
+        end = int(np.argmax(count - count[starts]))
+        start, equal = int(starts[end]), int(count[end] - count[starts[end]])
+        if equal < need:
+            return None
+        inside = np.flatnonzero(same[start:end])
+        return a + start + int(inside[0]), a + start + int(inside[-1]) + 1, equal
 
 
 def blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> Iterator[list[tuple[int, str | None]]]:

@@ -165,6 +165,41 @@ def test_overlaps(spark):
     assert D.overlaps(df, bench.limit(0)).count() == 0 and D.clean(df.limit(0), bench).count() == 0
 
 
+def test_parts_of_a_stretch_count():
+    """Three runs of 14 equal tokens with 8 others between are an overlap, as one of them is."""
+    item = [f"i{k}" for k in range(58)]
+    text = [t if k % 22 < 14 else f"z{k}" for k, t in enumerate(item)]
+    index = D.SeedIndex([(1, " ".join(item))])
+    assert index.overlaps(" ".join(text)) == [(1, 0, 36, 0, 28)]
+    assert index.overlaps(" ".join(text[:14])) == [(1, 0, 14, 0, 14)]
+
+
+def test_stretch_matches_brute_force():
+    rng = np.random.default_rng(2)
+    for n in [*range(1, 30), *[40] * 60]:
+        same = rng.random(n) < rng.choice([0.5, 0.65, 0.75, 0.9])
+        y = np.arange(1, n + 1, dtype=np.uint64)
+        need = min(D.LEAST_EQUAL, int(np.ceil(D.LEAST_OF_ITEM * n)))
+        sums = [(int(same[a:b].sum()), b - a) for a in range(n) for b in range(a + 1, n + 1)]
+        want = any(e >= need and e >= D.LEAST_SHARE * size for e, size in sums)
+        got = D.SeedIndex._stretch(np.where(same, y, np.uint64(0)), y, 0)
+        assert (got is not None) == want
+        if got:
+            first, last, equal = got
+            assert equal == same[first:last].sum() >= need and equal >= D.LEAST_SHARE * (last - first)
+
+
+@pytest.mark.parametrize("n, changes", [(5, 1), (8, 1), (10, 2), (14, 2), (15, 3), (16, 4), (20, 5), (32, 8)])
+def test_no_overlap_without_a_hit(n, changes):
+    rng = random.Random(n)
+    item = [f"i{k}" for k in range(n)]
+    index = D.SeedIndex([(1, " ".join(item))])
+    for _ in range(300):
+        at = set(rng.sample(range(n), changes))
+        text = " ".join(f"z{k}" if k in at else t for k, t in enumerate(item))
+        assert [o[0] for o in index.overlaps(text)] == [1], text
+
+
 # --- extraction ----------------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li></ul></nav><header>Site name</header><div class="ad">Buy now %d</div>%s<aside>More</aside>
