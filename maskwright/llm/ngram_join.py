@@ -1,25 +1,30 @@
 """Exact Jaccard self-join of documents on word shingles, by prefixes under several token orders.
 
-With sets A and B and a wanted share of 0.8, two sets that link share a token among the first
-``n - ceil(0.8 n) + 1`` of each, whatever the order of tokens. So they do under every one of
-several orders, and only pairs that share a prefix token under all of them are candidates.
-The orders put rare tokens first, by counters over all documents in tables of a fixed size,
-each order with counters and hashes of its own. Beyond the first order prefixes are longer,
-and several tokens must be shared.
-
-No group is ever expanded into all its pairs:
-
-1. Equal sets become one class; only its least document takes part.
-2. Classes with the same first token under an order are compared with the least of them.
-   That links most near copies, in stars, at one comparison each.
-3. Only then prefixes are joined, and only between classes of *different* components: pairs
-   already connected need no comparison, so large groups of near copies add none. What shares
-   a prefix token under the first order is filtered by the prefixes under the others, and
-   what is left is compared exactly: a few times one partner a document, each time leaving out
-   what is connected by then, and at last all that is left.
-
-Step 3 covers every pair of classes not connected in step 2, so no link is lost. Shingles are
-64-bit hashes; two of a text's or pair's million being equal by chance is one in ten million.
+Sort the shingles (tokens) of all sets by one order of the whole corpus. If the first token
+that sets A and B share stands at place i of A and j of B, they share at most
+``min(|A| - i, |B| - j)``; for a link that must reach ``0.8 / 1.8 * (|A| + |B|)``. So linked
+sets share a token near the start of both, whatever the order, and only pairs that do so under
+*every* one of several orders are compared.
+
+All orders put rare tokens first, by exact document frequencies; they differ in how finely
+they tell frequencies apart, and in the hash that breaks ties. A token of only one document
+shares nothing, so it needs a place but no posting, and a set with too many of them links
+with nothing at all.
+
+1. Each task shingles its texts in *cells* of bounded size and deals each cell's distinct
+   tokens out by ranges of their hash. A range's group counts tokens over all cells and sends
+   those of two documents or more back to their cells. A token that several documents of a
+   cell have is sent once, with its count, so a hot token costs a group one entry a cell.
+2. A cell then knows the repeated tokens of each set. It keeps them, and the set's prefix
+   under each order, unless the set cannot link.
+3. Equal sets become one class; only its least document takes part.
+4. Sets with the same least hash are compared with the least document of them: stars, which
+   connect most near copies at one comparison each.
+5. Prefixes are joined, but only between *different* components: in a token's list, the
+   documents outside the largest component meet the others, those within it don't meet each
+   other. Pairs found under all orders are compared exactly on their repeated tokens.
+
+Step 5 covers every pair of classes not connected in step 4, so no link is lost.
 """
 
 from __future__ import annotations
@@ -30,352 +35,319 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
+from .shingles import mixed, shingles
 
-WORDS = 5
 #: Links: 100 * intersection >= SHARE * union.
 SHARE = 80
-#: Orders, and counters of each.
+#: Token orders whose prefixes must all meet, and hash functions whose least values form stars.
 ORDERS = 3
-COUNTERS = 1 << 19
-_CHUNK = 1 << 12
-#: Buckets of ids that tell, roughly, which texts a comparison needs: at most so many are broadcast.
-BUCKETS = 1 << 20
-#: Turns in which a document is compared with one partner on either side, before all that is left is.
-TURNS = 4
-#: Comparisons with one hub in a task, about.
-HUB_ROWS = 64
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
-
-# --- shingles ------------------------------------------------------------------------------
-class Shingler:
-    """Distinct shingle hashes of texts, ascending; words are hashed once a memo."""
-
-    def __init__(self, most: int = 200_000):
-        self.memo: dict[bytes, int] = {}
-        self.most = most
-
-    def _words(self, text: str | None) -> list[int]:
-        words = (text or "").encode("utf-8", "replace").lower().split()
-        memo = self.memo
-        got = list(map(memo.get, words))
-        if None in got:
-            for w in set(words).difference(memo):
-                memo[w] = xxhash.xxh3_64_intdigest(w)
-            got = list(map(memo.__getitem__, words))
-        return got
-
-    def many(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The set of each text; the windows of all texts are hashed at once."""
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        held = [self._words(t) for t in texts]
-        x = np.array([h for got in held for h in got], np.uint64)
-        h, out, at = _windows(x, WORDS), [], 0
-        for got in held:
-            n = len(got)
-            own = h[at : at + n - WORDS + 1] if n >= WORDS else _windows(x[at : at + n], n) if n else x[:0]
-            out.append(np.unique(own))
-            at += n
-        return out
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        return self.many([text])[0]
-
-
-def _windows(x: np.ndarray, k: int) -> np.ndarray:
-    """A hash for each place where ``k`` words follow."""
-    n = len(x) - k + 1
-    if n <= 0:
-        return x[:0]
-    h = np.full(n, k, np.uint64)
-    for j in range(k):
-        h = (h ^ x[j : j + n]) * _MIX[0]
-        h ^= h >> np.uint64(32)
-    return h
-
-
-def jaccard_links(a: np.ndarray, b: np.ndarray) -> bool:
-    """Exactly: 100 * |A and B| >= SHARE * |A or B|; empty sets link with nothing."""
-    if not len(a) or not len(b):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= SHARE * (len(a) + len(b) - both)
-
-
-def prefix_length(n: int) -> int:
-    """Tokens of a set of ``n`` of which a linked set must have one: n - ceil(SHARE n / 100) + 1."""
+STARS = 4
+#: Tokens and documents of a cell, and bytes of text for each range of token hashes, about.
+CELL_TOKENS = 1 << 19
+CELL_DOCS = 60_000
+RANGE_BYTES = 8 << 20
+#: Stands for "several documents of the cell" where a document's number in its cell is told.
+_SEVERAL = 0xFFFF
+_U = np.uint64
+
+
+def prefix_length(n):
+    """Places of a set of ``n`` where the first token shared with a linked set can be: n - ceil(SHARE n / 100) + 1."""
     return n - -(-SHARE * n // 100) + 1
 
 
-def _mixed(h: np.ndarray, order: int) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * _MIX[order]
-    return h ^ (h >> np.uint64(32))
-
-
-def _slots(h: np.ndarray, order: int) -> np.ndarray:
-    return (_mixed(h, order) & np.uint64(COUNTERS - 1)).astype(np.int64)
-
-
-# --- token orders --------------------------------------------------------------------------
-def count_tokens(docs: DataFrame) -> np.ndarray:
-    """Counters of each order over all documents: ORDERS x COUNTERS. Its size is fixed.
-
-    Each task counts its documents and sends its counters in compressed chunks; chunks of the
-    same number are added up as they stream in.
-    """
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingler(), np.zeros((ORDERS, COUNTERS), np.int64)
+# --- cells: tokens out, repeated tokens back -----------------------------------------------
+_DEALT = pa.schema([("range", pa.int32()), ("cell", pa.int64()), ("sets", pa.binary()), ("tokens", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
+_DEALT_DDL = "range int, cell bigint, sets binary, tokens binary, docs binary, counts binary"
+#: Of each document of a cell: key, whether it has one, set size, set fingerprint, least hashes.
+_SETS = np.dtype([("doc_id", "<i8"), ("known", "?"), ("n", "<i8"), ("f1", "<u8"), ("f2", "<u8"), ("least", "<u8", (STARS,))])
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """Ascending tokens: the bytes of their differences, plane by plane, compressed."""
+    steps = np.diff(tokens, prepend=_U(0)).astype("<u8")
+    return _squeezed(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T))
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=_U)
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _expanded(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+class _Cell:
+    """Texts of a task until they are dealt out together."""
+
+    def __init__(self):
+        self.tokens, self.docs, self.ids, self.known, self.held = [], [], [], [], 0
+
+    def add(self, ids: pa.Array, texts: pa.Array) -> None:
+        t, of = shingles(texts)
+        self.tokens.append(t)
+        self.docs.append((of + sum(map(len, self.ids))).astype(np.uint16))
+        self.ids.append(ids.fill_null(0).to_numpy())
+        self.known.append(ids.is_valid().to_numpy(zero_copy_only=False))
+        self.held += len(t)
+
+    def full(self) -> bool:
+        return self.held >= CELL_TOKENS or sum(map(len, self.ids)) >= CELL_DOCS
+
+    def dealt(self, name: str, ranges: int) -> pa.RecordBatch:
+        """A row of the cell's sets and of tokens that several of them have; a row for each range of the tokens."""
+        t, d = np.concatenate(self.tokens), np.concatenate(self.docs)
+        order = np.argsort(t, kind="stable")
+        t, d = t[order], d[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
+        t, d = t[new], d[new]
+        sets = np.zeros(sum(map(len, self.ids)), _SETS)
+        sets["doc_id"], sets["known"] = np.concatenate(self.ids), np.concatenate(self.known)
+        sets["n"] = np.bincount(d, minlength=len(sets))
+        if len(t):
+            by_doc = t[np.argsort(d, kind="stable")]
+            some = sets["n"] > 0
+            starts = (np.cumsum(sets["n"]) - sets["n"])[some]
+            sets["f1"][some] = np.add.reduceat(mixed(by_doc, 1), starts)
+            sets["f2"][some] = np.bitwise_xor.reduceat(mixed(by_doc, 2) * _U(0xC2B2AE3D27D4EB4F), starts)
+            for k in range(STARS):
+                sets["least"][some, k] = np.minimum.reduceat(mixed(by_doc ^ _U(k), 2 + k), starts)
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, int)
+        counts = np.diff(np.append(first, len(t)))
+        own, docs = t[first], np.where(counts == 1, d[first], _SEVERAL).astype("<u2")
+        shared = np.repeat(counts > 1, counts)
+        cell = xxhash.xxh3_64_intdigest(name.encode() + sets.tobytes())
+        rows = [(cell % ranges, _squeezed(sets), _packed(t[shared]), _squeezed(d[shared].astype("<u2")), b"")]
+        edges = np.searchsorted(((own >> _U(32)) * _U(ranges)) >> _U(32), np.arange(ranges + 1))
+        for r in np.flatnonzero(np.diff(edges)).tolist():
+            at = slice(edges[r], edges[r + 1])
+            rows.append((r, None, _packed(own[at]), _squeezed(docs[at]), _squeezed(counts[at][docs[at] == _SEVERAL].astype("<u4"))))
+        columns = list(zip(*rows))
+        columns.insert(1, [cell - (1 << 64) if cell >> 63 else cell] * len(rows))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _DEALT)], schema=_DEALT)
+
+
+def _deal(docs: DataFrame) -> DataFrame:
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    ranges = max(64, min(1 << 20, -(-int(size) // RANGE_BYTES)))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, number, task = _Cell(), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                h = np.concatenate(shingles.many(batch.column(0).slice(at, 64).to_pylist()))
-                for k in range(ORDERS):
-                    np.add.at(counts[k], _slots(h, k), 1)
-        yield from _chunks(counts.reshape(-1, _CHUNK), range(ORDERS * COUNTERS // _CHUNK))
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        expand = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(expand.decompress(data), np.int64)
-                sums[c] = sums[c] + x if c in sums else x
-        yield from _chunks(list(sums.values()), sums)
-
-    def _chunks(values, numbers) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        rows = [(c, squeeze.compress(v.tobytes())) for c, v in zip(numbers, values) if v.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["chunk", "counts"])
-
-    schema = "chunk int, counts binary"
-    sums = docs.select("text").mapInArrow(counted, schema).repartition("chunk").mapInArrow(added, schema).collect()
-    out, expand = np.zeros((ORDERS * COUNTERS // _CHUNK, _CHUNK), np.int64), zstandard.ZstdDecompressor()
-    for r in sums:
-        out[r["chunk"]] += np.frombuffer(expand.decompress(bytes(r["counts"])), np.int64)
-    return np.minimum(out, 2**31 - 1).astype(np.int32).reshape(ORDERS, COUNTERS)
-
-
-def wanted(n: int) -> int:
-    """Tokens that longer prefixes must share: as many as a plain prefix has, less one, but one at least.
-
-    With ``wanted - 1`` tokens more in the prefix, linked sets share ``wanted`` there: the first
-    so many common tokens have all other common ones after them, in either set. For two sets
-    the lesser number holds.
-    """
-    return max(1, prefix_length(n) - 1)
-
-
-def prefixes(h: np.ndarray, ends: np.ndarray, order: int, counts: np.ndarray) -> list[np.ndarray]:
-    """Prefixes of sets under an order: rare tokens first, then by a hash, then by the token itself.
-
-    The first order's are plain, for the join; the others', for filters, are the longer ones.
-
-    ``h`` has the sets one after the other, each ascending, ``ends`` where each ends.
-    """
-    mixed = _mixed(h, order)
-    rank = counts[order][(mixed & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
-    key = (rank << np.uint64(32)) | (mixed >> np.uint64(32))
-    out, start = [], 0
-    for end in ends.tolist():
-        own = h[start:end]
-        size = prefix_length(len(own)) + (wanted(len(own)) - 1 if order else 0) if len(own) else 0
-        out.append(own[np.argsort(key[start:end], kind="stable")[:size]])
-        start = end
-    return out
-
-
-def describe(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, set fingerprint (f1, f2), prefix (first order), firsts (one an order), marks (longer prefixes of the other orders, 16 bits a token)."""
-    held = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
-        ("prefix", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int64())), ("marks", pa.list_(pa.binary())),
-    ])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingler(), held.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                sets = shingles.many(part.column(1).to_pylist())
-                n = np.array([len(s) for s in sets])
-                h, set_ends = np.concatenate(sets), np.cumsum(n)
-                full, f1, f2 = n > 0, np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-                if len(h):
-                    starts = (set_ends - n)[full]
-                    f1[full] = np.add.reduceat(_mixed(h, 1), starts)
-                    f2[full] = np.bitwise_xor.reduceat(_mixed(h, 2) * _MIX[1], starts)
-                own = [prefixes(h, set_ends, k, counts) for k in range(ORDERS)]
-                firsts = [[int(own[k][i][:1].view(np.int64)[0]) for k in range(ORDERS)] if n[i] else [] for i in range(len(n))]
-                marks = [[(own[k][i] >> np.uint64(48)).astype(np.uint16).tobytes() for k in range(1, ORDERS)] if n[i] else [] for i in range(len(n))]
-                ends = np.cumsum([0, *map(len, own[0])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own[0]).view(np.int64))),
-                    pa.array(firsts, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.binary())),
-                ], schema=schema)
-
-    ddl = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, prefix array<bigint>, firsts array<bigint>, marks array<binary>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, ddl)
+            bytes_to = np.cumsum(batch.column("size").to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                end = int(np.searchsorted(bytes_to, (bytes_to[at - 1] if at else 0) + (1 << 20), "right"))
+                end = min(max(end, at + 1), at + 2000, batch.num_rows)
+                cell.add(batch.column("doc_id").slice(at, end - at), batch.column("text").slice(at, end - at))
+                at = end
+                if cell.full():
+                    yield cell.dealt(f"{task} {number}", ranges)
+                    cell, number = _Cell(), number + 1
+        if cell.ids:
+            yield cell.dealt(f"{task} {number}", ranges)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    return rows.mapInArrow(dealt, _DEALT_DDL)
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """Of a range of tokens, those that two documents or more have, for each cell, with their counts."""
+    rows = [tuple(r.values()) for r in table.select(["range", "cell", "sets", "tokens", "docs", "counts"]).to_pylist()]
+    out = [r for r in rows if r[2] is not None]
+    rows = [r for r in rows if r[2] is None]
+    if rows:
+        tokens, docs, counts = [_unpacked(r[3]) for r in rows], [_expanded(r[4], "<u2") for r in rows], []
+        for d, r in zip(docs, rows):
+            c = np.ones(len(d), np.int64)
+            c[d == _SEVERAL] = _expanded(r[5], "<u4")
+            counts.append(c)
+        ends = np.cumsum([0, *map(len, tokens)])
+        t, c = np.concatenate(tokens), np.concatenate(counts)
+        order = np.argsort(t, kind="stable")
+        t = t[order]
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        total = np.empty(len(t), np.int64)
+        total[order] = np.repeat(np.add.reduceat(c[order], first), np.diff(np.append(first, len(t))))
+        for k, r in enumerate(rows):
+            df = total[ends[k] : ends[k + 1]]
+            back = df > 1
+            if back.any():
+                out.append((r[0], r[1], None, _packed(tokens[k][back]), _squeezed(docs[k][back]), _squeezed(np.minimum(df[back], 2**32 - 1).astype("<u4"))))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * 6, _DEALT)], schema=_DEALT)
+
+
+_SET_DDL = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, least array<bigint>, alone bigint, tokens array<bigint>, " + ", ".join(f"prefix{k} array<bigint>" for k in range(ORDERS))
+_SET_TYPES = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.int64()] + [pa.list_(pa.int64())] * (1 + ORDERS)
+
+
+def order_key(tokens: np.ndarray, df: np.ndarray, order: int) -> np.ndarray:
+    """Sort key of repeated tokens under an order: frequencies to the unit, the power of two, or of four; then a hash."""
+    rank = df.astype(_U) if order == 0 else (np.log2(df).astype(_U) // _U(order))
+    return (rank << _U(32)) | (mixed(tokens, order) >> _U(32))
+
+
+def _described(table: pa.Table) -> pa.Table:
+    """The sets of a cell; those that may link with their repeated tokens and prefixes."""
+    rows = table.to_pylist()
+    own = [r for r in rows if r["sets"] is not None]
+    if len(own) != 1:
+        raise RuntimeError("the texts of a cell changed between runs of its task: read them from a table")
+    sets = _expanded(own[0]["sets"], _SETS)
+    rows = [r for r in rows if r["sets"] is None]
+    t = np.concatenate([np.zeros(0, _U), *(_unpacked(r["tokens"]) for r in rows)])
+    d = np.concatenate([np.zeros(0, "<u2"), *(_expanded(r["docs"], "<u2") for r in rows)]).astype(np.int64)
+    df = np.concatenate([np.zeros(0, "<u4"), *(_expanded(r["counts"], "<u4") for r in rows)]).astype(np.int64)
+    several = d == _SEVERAL
+    order = np.argsort(t[several])
+    known, known_df = t[several][order], df[several][order]
+    shared, of = _unpacked(own[0]["tokens"]), _expanded(own[0]["docs"], "<u2").astype(np.int64)
+    t, d = np.concatenate([t[~several], shared]), np.concatenate([d[~several], of])
+    df = np.concatenate([df[~several], known_df[np.searchsorted(known, shared)]])
+    n = sets["n"]
+    alone = n - np.bincount(d, minlength=len(sets))
+    most = prefix_length(n)
+    live = (n > 0) & (alone < most)
+    keep = live[d]
+    t, d, df = t[keep], d[keep], df[keep]
+    size, room = np.where(live, n - alone, 0), np.where(live, most - alone, 0)
+    starts = np.cumsum(size) - size
+
+    def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(_U, copy=False).view(np.int64)), mask=pa.array(~live))
+
+    columns = [pa.array(sets["doc_id"], mask=~sets["known"]), pa.array(n), *(pa.array(np.ascontiguousarray(sets[f]).view(np.int64)) for f in ("f1", "f2"))]
+    columns += [lists(sets["least"][live].reshape(-1), np.where(live, STARS, 0)), pa.array(alone)]
+    columns.append(lists(t[np.lexsort((t, d))], size))
+    place = np.arange(len(t)) - starts[np.sort(d)]
+    for k in range(ORDERS):
+        order = np.lexsort((t, order_key(t, df, k), d))
+        front = order[place < room[d[order]]]
+        columns.append(lists(t[front], np.minimum(room, size)))
+    return pa.Table.from_arrays([c.cast(x) for c, x in zip(columns, _SET_TYPES)], names=[c.split()[0] for c in _SET_DDL.split(", ")])
+
+
+def describe(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, n_shingles, set fingerprint f1 and f2, and of sets that
+    may link their least hashes, number of tokens of no other document, other tokens and their prefixes."""
+    counted = _deal(docs).groupBy("range").applyInArrow(_counted, _DEALT_DDL)
+    return counted.groupBy("cell").applyInArrow(_described, _SET_DDL)
 
 
 # --- comparisons ---------------------------------------------------------------------------
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the documents whose id is in ``ids`` (distinct), one row an id.
-
-    The ids' buckets are few enough to broadcast however many ids there are, and keep most
-    other texts out of the exchange.
-    """
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    buckets = ids.select(bucket("id").alias("bucket")).distinct()
-    some = docs.select(F.col("doc_id").cast("long").alias("id"), "text", bucket(F.col("doc_id").cast("long")).alias("bucket"))
-    return some.join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket").join(ids, "id", "left_semi")
+def reach(n: Column, m: Column) -> Column:
+    """The least count of shared tokens, times 100 + SHARE, at which sets of ``n`` and ``m`` link."""
+    return SHARE * (n + m)
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) of documents that link, compared on their whole texts.
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) of documents that link. A document's sets are rows of ``sets``.
 
-    Pairs are grouped by ``a``, a few dozen to a group, so a document that is in thousands of
-    pairs is sent to that many groups less, and no task gets all its partners.
+    Both joins are on ids of single rows, so a document in many pairs is a skewed key that
+    Spark splits, not a group.
     """
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 30)))
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(f"n > {HUB_ROWS}")
-    pairs = pairs.join(sizes, "a", "left").withColumn("salt", F.pmod("salt", F.coalesce(F.ceil(F.col("n") / HUB_ROWS), F.lit(1)))).select("a", "b", "salt")
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(_texts_of(docs, ids), "texts")
-    hubs = pairs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    others = pairs.join(texts, F.col("b") == F.col("id")).select("a", "salt", "b", "text")
-
-    def compared(key: tuple, table: pa.Table) -> pa.Table:
-        shingles = Shingler()
-        bs, texts = table.column("b").to_pylist(), table.column("text").to_pylist()
-        hubs = [shingles(t) for b, t in zip(bs, texts) if b is None]
-        linked = {b for b, t in zip(bs, texts) if b is not None for x in [shingles(t)] if any(jaccard_links(h, x) for h in hubs)}
-        return pa.table({"a": pa.array([key[0].as_py()] * len(linked), pa.int64()), "b": pa.array(sorted(linked), pa.int64())})
-
-    return hubs.unionByName(others).groupBy("a", "salt").applyInArrow(compared, "a bigint, b bigint")
+    x = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("tokens").alias("y"))
+    both = pairs.join(y, "b").join(x, "a")
+    return both.where((100 + SHARE) * F.size(F.array_intersect("x", "y")) >= reach(F.col("n"), F.col("m"))).select("a", "b").distinct()
 
 
 # --- components ----------------------------------------------------------------------------
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, comp (least node of its component) for every node of ``edges`` (a, b).
 
     Labels go down to the least neighbour's and then to their label's label until none
     changes; every round is a written table.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
+    both = scratch.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    labels = scratch.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("comp").alias("near"))
         down = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "comp", F.least("comp", "near").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("comp").alias("jump"))
-        new = written(down.join(up, "low", "left").select("node", F.col("comp").alias("old"), F.least("low", "jump").alias("comp")), "labels")
+        new = scratch.written(down.join(up, "low", "left").select("node", F.col("comp").alias("old"), F.least("low", "jump").alias("comp")), "labels")
         labels = new.select("node", "comp")
         if new.where("old <> comp").limit(1).count() == 0:
             return labels
 
 
+def _stars(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b): each set with the least document that shares one of its least hashes."""
+    least = reps.select("doc_id", F.posexplode("least").alias("k", "h"))
+    hubs = least.groupBy("k", "h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("k", "h", "a")
+    return least.join(hubs, ["k", "h"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+
+
+def candidates(reps: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b), a < b, of different components whose prefixes meet, near enough to their starts, under every order."""
+    named = reps.join(comps, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    prefixes = named.select(
+        "doc_id", "comp", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.col("alone")).alias("repeated"),
+        F.posexplode(F.array(*[f"prefix{k}" for k in range(ORDERS)])).alias("order", "prefix"),
+    )
+    posted = prefixes.select("order", "doc_id", "comp", "n", "repeated", F.posexplode("prefix").alias("place", "token"))
+    posted = posted.select("order", "token", "doc_id", "comp", "n", (F.col("repeated") - F.col("place")).alias("left"))
+    lists = posted.groupBy("order", "token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    lists = lists.groupBy("order", "token").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k"))
+    lists = lists.where("k > 1").select("order", "token", F.col("top.comp").alias("main"))
+    mixed_lists = scratch.written(posted.join(lists, ["order", "token"]), "postings")
+    x, y = mixed_lists.where("comp <> main").alias("x"), mixed_lists.alias("y")
+    near = F.least("x.left", "y.left") * (100 + SHARE) >= reach(F.col("x.n"), F.col("y.n"))
+    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.comp") < F.col("y.comp"))
+    met = x.join(y, (F.col("x.order") == F.col("y.order")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & near)
+    met = met.select(F.col("x.order").alias("order"), F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("orders")).where(f"orders = {ORDERS}").select("a", "b")
+
+
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     Null and wordless texts have no shingle and are their own component. Repeated rows each
     have a row; a null doc_id takes no part in links and has a null component. Rows that share
-    a doc_id are one document with several texts. Empty in, empty out. Other columns of
-    ``docs`` are not read.
+    a doc_id are one document with several texts. A very long text is a cell of its own.
+    Empty in, empty out. Other columns of ``docs`` are not read, whatever their names.
     """
-    docs = docs.select("doc_id", "text")
-    known = docs.where("doc_id IS NOT NULL")
-    described = written(describe(docs, count_tokens(docs)), "described")
-    full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    key = ["n_shingles", "f1", "f2"]
-    # One row a class: its least document. Equal rows of it count once.
-    member = written(full.select("doc_id", *key).distinct().join(classes, key).select("doc_id", "rep", *key), "members")
-    reps = member.where("doc_id = rep").select("rep", *key).distinct()
-    heads = full.select("doc_id", *key, "firsts").join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", *key]).dropDuplicates(["doc_id", *key])
-    firsts = heads.select(F.col("doc_id").alias("rep"), F.posexplode("firsts").alias("order", "token"))
-    hubs = firsts.groupBy("order", "token").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = firsts.join(hubs, ["order", "token"]).where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    links = written(verify(known, stars).unionByName(member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "links")
-    comps = components(links)
-    # Prefixes, between components only.
-    of_rep = written(reps.join(comps, F.col("rep") == F.col("node"), "left").select("rep", *key, F.coalesce("comp", "rep").alias("comp")), "reps")
-    held = full.select("doc_id", *key, "prefix").join(of_rep.withColumnRenamed("rep", "doc_id"), ["doc_id", *key])
-    tokens = held.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"), "comp", F.col("n_shingles").alias("n"))
-    mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    few = written(tokens.join(mixed, "token").distinct(), "shared-prefixes")
-    left, right = few.alias("x"), few.alias("y")
-    pairs = left.join(right, F.col("x.token") == F.col("y.token")).where(
-        (F.col("x.comp") < F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= SHARE * F.greatest("x.n", "y.n"))
-    ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    todo = written(_share_marks(written(pairs, "order-1-pairs"), full, of_rep), "candidates")
-    for turn in range(TURNS + 1):
-        if todo.limit(1).count() == 0:
-            break
-        # Near copies mostly link, so one partner on either side connects many of them, and what
-        # is connected by then needs no comparison. The last turn compares all that is left.
-        now = written(_one_partner(todo), "pairs-now") if turn < TURNS else todo
-        links = links.unionByName(written(verify(known, now), "links"))
-        if turn < TURNS:
-            comps = components(links)
-            rest = todo.join(now, ["a", "b"], "left_anti")
-            for side in ("a", "b"):
-                rest = rest.join(comps.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp")), side, "left")
-            todo = written(rest.where("coalesce(a_comp, a) <> coalesce(b_comp, b)").select("a", "b"), "candidates")
-    comps = components(links)
-    named = described.select("doc_id", "n_shingles").join(comps, F.col("doc_id") == F.col("node"), "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
-
-
-def _one_partner(pairs: DataFrame) -> DataFrame:
-    """For each document, on either side, one of its pairs, as if at random."""
-    turn = F.xxhash64("a", "b")
-    of_a = pairs.groupBy("a").agg(F.min(F.struct(turn.alias("h"), F.col("b"))).alias("m")).select("a", F.col("m.b").alias("b"))
-    of_b = pairs.groupBy("b").agg(F.min(F.struct(turn.alias("h"), F.col("a"))).alias("m")).select(F.col("m.a").alias("a"), "b")
-    return of_a.unionByName(of_b).distinct()
-
-
-def _share_marks(pairs: DataFrame, full: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs that share enough prefix tokens under the other orders too.
-
-    Tokens are compared by 16 bits of each, counted as often as they occur, which may only
-    let more pairs pass.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    marks = full.select("doc_id", "n_shingles", "f1", "f2", "marks").join(ids, "doc_id").join(
-        reps.select(F.col("rep").alias("doc_id"), "n_shingles", "f1", "f2"), ["doc_id", "n_shingles", "f1", "f2"], "left_semi")
-    marks = written(marks.select("doc_id", "n_shingles", "marks").distinct(), "marks")
-    both = pairs.join(marks.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("marks").alias("x")), "a")
-    both = both.join(marks.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("marks").alias("y")), "b").select("a", "b", "x", "y", F.least("n", "m").alias("n"))
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lambda m: np.unique(np.frombuffer(m, np.uint16), return_counts=True)
-
-        def common(p: bytes, q: bytes) -> int:
-            (v, c), (w, d) = of(p), of(q)
-            _, i, j = np.intersect1d(v, w, assume_unique=True, return_indices=True)
-            return int(np.minimum(c[i], d[j]).sum())
-
-        for batch in batches:
-            xs, ys, ns = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            keep = [all(common(p, q) >= wanted(n) for p, q in zip(x, y)) for x, y, n in zip(xs, ys, ns)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(shared, "a bigint, b bigint").distinct()
+    with Scratch(docs.sparkSession, "ngram-join") as scratch:
+        described = scratch.written(describe(docs.select("doc_id", "text")), "described")
+        live = described.where("tokens IS NOT NULL AND doc_id IS NOT NULL")
+        key = ["n_shingles", "f1", "f2"]
+        classes = live.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+        # A document's equal rows are one set of it.
+        sets = live.join(classes.withColumnRenamed("rep", "doc_id").drop("size"), ["doc_id", *key]).dropDuplicates(["doc_id", *key])
+        sets = scratch.written(sets, "sets")
+        copies = live.select("doc_id", *key).join(classes.where("size > 1"), key).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+        copies = scratch.written(copies, "copies")
+        stars = scratch.written(verify(_stars(sets), sets), "stars")
+        comps = components(stars, scratch)
+        rest = scratch.written(verify(candidates(sets, comps, scratch), sets), "rest")
+        comps = components(copies.unionByName(stars).unionByName(rest), scratch)
+        named = described.select("doc_id", "n_shingles").join(comps, F.col("doc_id") == F.col("node"), "left")
+        return written(named.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")), "components")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the least id stays.
 
-    Rows with a null id stay. Of rows that share the least id one stays.
+    Rows with a null id stay. A document that has several texts under its id keeps each; of
+    its rows with equal texts one stays, the first by the other columns.
     """
-    comps = near_duplicate_components(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id").distinct()
-    stays = comps.where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
-    kept = docs.join(stays, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    comps = near_duplicate_components(docs).where("doc_id IS NOT NULL")
+    stays = comps.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(stays, F.col("doc_id") == F.col("__id"), "left_semi")
+    text = [F.xxhash64("text"), F.crc32("text")]
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    turn = F.row_number().over(Window.partitionBy("doc_id", *text).orderBy(F.xxhash64(*others) if others else F.lit(0)))
+    kept = kept.withColumn("__turn", turn).where("__turn = 1").drop("__turn")
     return kept.unionByName(docs.where("doc_id IS NULL"))
