@@ -7,6 +7,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +94,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch, text: str, size: int, rows: int = 4000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of text, one row at least."""
+    lens = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(lens, dtype=np.int64), 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        to = min(max(to, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, written
+from .common import Scratch, slices, written
 from .shingles import mixed, shingles
 
 #: Links: 100 * intersection >= SHARE * union.
@@ -145,21 +145,15 @@ def _deal(docs: DataFrame) -> DataFrame:
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, number, task = _Cell(), 0, TaskContext.get().partitionId()
         for batch in batches:
-            bytes_to = np.cumsum(batch.column("size").to_numpy())
-            at = 0
-            while at < batch.num_rows:
-                end = int(np.searchsorted(bytes_to, (bytes_to[at - 1] if at else 0) + (1 << 20), "right"))
-                end = min(max(end, at + 1), at + 2000, batch.num_rows)
-                cell.add(batch.column("doc_id").slice(at, end - at), batch.column("text").slice(at, end - at))
-                at = end
+            for rows in slices(batch, "text", 1 << 20, 2000):
+                cell.add(rows.column("doc_id"), rows.column("text"))
                 if cell.full():
                     yield cell.dealt(f"{task} {number}", ranges)
                     cell, number = _Cell(), number + 1
         if cell.ids:
             yield cell.dealt(f"{task} {number}", ranges)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    return rows.mapInArrow(dealt, _DEALT_DDL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(dealt, _DEALT_DDL)
 
 
 def _counted(table: pa.Table) -> pa.Table:

@@ -18,7 +18,9 @@ _U = np.uint64
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], _U)
 _BASE = 0xD1342543DE82EF95
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_VALUE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=_U) * _U(2) + _U(1)
+_BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=_U) * _U(2) + _U(1)
+#: Bytes of words: A-Z count as a-z.
+_VALUE = _BYTE.copy()
 _VALUE[65:91] = _VALUE[97:123]
 
 
@@ -83,6 +85,14 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(h ^ (h >> _U(32)), 0), np.searchsorted(ends, np.concatenate(starts), "right") - 1
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each span of ``data``, which has :data:`BLOCK` bytes at most; every byte counts as it is."""
+    sums = np.zeros(len(data) + 1, _U)
+    np.cumsum(_BYTE[data] * _POWER[: len(data)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _BACK[starts] + (ends - starts).astype(_U) * _MIX[1]
+    return mixed(h ^ (h >> _U(32)), 0)
+
+
 def shingles(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each ``k`` following words, and the number of its text; repeats stay.
 

@@ -19,25 +19,29 @@ first, zero-padded. A plane without a set bit has length 0.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import shared_path
+from .common import shared_path, slices, tidy
+from .shingles import BLOCK, span_hashes, utf8
 
 SEGMENT_IDS = 1 << 19
 BLOCK_IDS = 1 << 15
 END_ID = 2
-#: Entries of a worker's memo of text pieces; at the limit it starts afresh.
-MEMO = 800_000
+#: Bytes of text encoded at once, about.
+SLICE = 1 << 20
+#: Entries of a worker's table of text pieces; at the limit it starts afresh.
+MEMO = 1_500_000
 
 _SCHEMA = (
     "part int, segment int, first_id bigint, n_ids bigint, doc_ids array<bigint>, "
@@ -108,80 +112,136 @@ def unpack(index: list[list[int]], data: bytes, n_ids: int, block_ids: int = BLO
 
 
 # --- text to ids --------------------------------------------------------------------------
+#: Kinds of ASCII bytes: 1 letter, 2 digit, 3 other visible, 4 apostrophe, 5 white space. Others are 0.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127], _KIND[48:58], _KIND[39], _KIND[[9, 10, 11, 12, 13, 32]] = 3, 2, 4, 5
+_KIND[65:91] = _KIND[97:123] = 1
+#: Whether a token of the byte-level pattern always ends between bytes of two kinds.
+_ENDS = np.zeros((6, 6), bool)
+_ENDS[1, 2:] = _ENDS[2, [1, 3, 4, 5]] = _ENDS[3, [1, 2, 5]] = _ENDS[4, [2, 5]] = True
+#: First bytes of characters that are surely no white space: all but those of U+0085, U+00A0 and some at U+1680 to U+3000.
+_SOLID = (_KIND > 0) & (_KIND < 5)
+_SOLID[[0xC3, *range(0xC4, 0xE1), *range(0xE4, 0xF5)]] = True
+
+
 class PieceEncoder:
-    """``tokenizers`` encoding of whole texts, with a bounded memo of their pieces.
+    """``tokenizers`` encoding of whole texts, by a bounded table of their pieces.
 
-    The byte-level pre-tokenizer always starts a token at a space that a non-space follows,
-    so a text splits there without changing its ids. A piece is looked up, and what the memo
-    lacks is cut by the pre-tokenizer's own pattern and encoded by the library in one call.
-    Texts with the content of an added token go through the library as a whole.
+    Texts are cut only where the byte-level pre-tokenizer ends a token whatever follows or
+    came before: between ASCII letters, digits and signs, before a space that a non-space
+    follows, and around a lone line feed. Pieces are told apart by 64-bit hashes, for all
+    texts at once; those that the table lacks are encoded by the library. Texts with the
+    content of an added token go through the library as a whole.
     """
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pre = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.odd = re.compile(r" (?:\s|\Z)").search
-        self.cut = re.compile(r" (?=\S)").split
-        # The printable stand-ins of bytes in byte-level vocabularies: visible Latin-1
-        # characters stand for themselves, the others, in order, for U+0100 upwards.
-        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        rest = iter(range(256, 512))
-        self.shown = {b: b if b in plain else next(rest) for b in range(256)}
-        self.space = chr(self.shown[32])
-        self.bpe = self.tokenizer.model.tokenize
-        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.token = _Memo(self._token)
-        self.head = _Memo(lambda p: self._piece("", p))
-        self.piece = _Memo(lambda p: self._piece(" ", p))
-
-    def _token(self, token: str) -> bytes:
-        """Ids of one pre-token, by the library's BPE model."""
-        if token.isascii() and token[1:].isalpha() and token[0] == " ":
-            shown = self.space + token[1:]
+        self._clear()
+
+    def _clear(self) -> None:
+        """Hashes, ascending, with the number of each; where the ids of a number begin, and how many it has."""
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.begin, self.length, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, "<u4"), 0
+        self.recent: dict[int, int] = {}
+
+    def _numbers(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of distinct hashes; -1 if not in the table."""
+        if not len(self.hashes):
+            out = np.full(len(h), -1, np.int64)
         else:
-            shown = token.encode("utf-8", "replace").decode("latin-1").translate(self.shown)
-        raw = self.raw
-        return b"".join([raw[t.id] for t in self.bpe(shown)])
-
-    def _piece(self, lead: str, p: str) -> bytes:
-        if p.isalpha():
-            return self.token[lead + p]
-        if p[-1:] in (",", ".") and p[:-1].isalpha():
-            return self.token[lead + p[:-1]] + self.token[p[-1]]
-        return b"".join(map(self.token.__getitem__, self.pre(lead + p)))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        for memo in (self.token, self.head, self.piece):
-            if len(memo) > MEMO:
-                memo.clear()
-        out, get = [], self.piece.__getitem__
-        for t in texts:
-            if not t:
-                out.append(b"")
-                continue
-            if any(a in t for a in self.added):
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-                continue
-            first, *rest = self.cut(t) if self.odd(t) else t.split(" ")
-            out.append(self.head[first] + b"".join(map(get, rest)))
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == h, self.numbers[at], -1)
+        miss = np.flatnonzero(out < 0)
+        out[miss] = [self.recent.get(x, -1) for x in h[miss].tolist()]
         return out
 
-
-class _Memo(dict):
-    """What ``make`` gives for a key, kept."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        got = self[key] = self.make(key)
-        return got
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        k, n = len(self.hashes) + len(self.recent), len(ids)
+        sizes = np.array([len(x) for x in ids])
+        need = self.used + int(sizes.sum())
+        if k + n > len(self.begin):
+            self.begin, self.length = np.resize(self.begin, 2 * (k + n)), np.resize(self.length, 2 * (k + n))
+        if need > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * need)
+        self.ids[self.used : need] = [i for x in ids for i in x]
+        self.begin[k : k + n], self.length[k : k + n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used = need
+        self.recent.update(zip(hashes.tolist(), range(k, k + n)))
+        if len(self.recent) > 1 << 16:
+            h = np.concatenate([self.hashes, np.fromiter(self.recent.keys(), np.uint64)])
+            numbers = np.concatenate([self.numbers, np.fromiter(self.recent.values(), np.int32)])
+            order = np.argsort(h)
+            self.hashes, self.numbers, self.recent = h[order], numbers[order], {}
+
+    def _block(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces of a block, one after the other, and how many each has."""
+        if len(self.hashes) > MEMO:
+            self._clear()
+        h, first, of = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        k = self._numbers(h)
+        new = np.flatnonzero(k < 0)
+        if len(new):
+            raw = data.tobytes()
+            self._learn(h[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            k = self._numbers(h)
+        k = k[of]
+        sizes = self.length[k]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return self.ids[np.repeat(self.begin[k] - ends + sizes, sizes) + np.arange(ends[-1])], sizes
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, bounds = utf8(texts)
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        kind, solid, cut = _KIND[data], _SOLID[data], np.zeros(len(data), bool)
+        cut[1:] = _ENDS[kind[:-1], kind[1:]]
+        cut[:-1] |= (data[:-1] == 32) & solid[1:]
+        cut[2:] |= solid[:-2] & (kind[:-2] > 0) & (data[1:-1] == 10) & solid[2:]
+        cut[bounds[1:][bounds[1:] > 0] - 1] = False  # the next text's first byte does not count
+        cut[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data))
+        ids, sizes, at = [], [], 0
+        while at < len(starts):
+            to = int(np.searchsorted(ends, starts[at] + BLOCK, "right"))
+            if to == at:  # one piece longer than a block
+                own = self.tokenizer.encode(data[starts[at] : ends[at]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids
+                got, to = (np.array(own, "<u4"), np.array([len(own)])), at + 1
+            else:
+                got = self._block(data[starts[at] : ends[to - 1]], starts[at:to] - starts[at], ends[at:to] - starts[at])
+            ids.append(got[0])
+            sizes.append(got[1])
+            at = to
+        of = np.searchsorted(bounds, starts, "right") - 1
+        return np.concatenate(ids), np.bincount(of, np.concatenate(sizes), len(texts)).astype(np.int64)
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, each with its end id, and how many each has; null is empty."""
+        texts = texts.fill_null("")
+        whole = np.zeros(len(texts), bool)
+        for a in self.added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        ids, counts = self._plain(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        if whole.any():
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for k in np.flatnonzero(whole).tolist():
+                parts[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")
+                counts[k] = len(parts[k])
+            ids = np.concatenate(parts)
+        if end_id is None:
+            return ids, counts
+        out = np.full(len(ids) + len(texts), end_id, "<u4")
+        counts = counts + 1
+        own = np.ones(len(out), bool)
+        own[np.cumsum(counts) - 1] = False
+        out[own] = ids
+        return out, counts
 
 
 def write_token_files(
@@ -205,33 +265,33 @@ def write_token_files(
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = PieceEncoder(tokenizer), TaskContext.get().partitionId()
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        keys, raws, held, before, number = [], [], 0, 0, 0
+        keys, lens, held, before, number = [], [], [], 0, 0
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(raws), "<u4")
+            ids = np.concatenate(held)
             index, data = pack(ids, block_ids, planes)
             return pa.RecordBatch.from_pylist([{
                 "part": part, "segment": number, "first_id": before, "n_ids": len(ids), "doc_ids": keys,
-                "doc_lens": [len(r) // 4 for r in raws], "chunk_index": index, "data": data,
+                "doc_lens": lens, "chunk_index": index, "data": data,
             }], schema=_ARROW)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                for k, raw in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist())):
-                    keys.append(k)
-                    raws.append(raw + end)
-                    held += len(raws[-1]) // 4
-                    if held >= segment_ids:
-                        yield closed()
-                        before, number, keys, raws, held = before + held, number + 1, [], [], 0
+            for rows in slices(batch, "t", SLICE):
+                ids, counts = encoder.encode(rows.column("t"), end_id)
+                keys += rows.column("k").to_pylist()
+                lens += counts.tolist()
+                held.append(ids)
+                if sum(map(len, held)) >= segment_ids:
+                    yield closed()
+                    before, number, keys, lens, held = before + sum(map(len, held)), number + 1, [], [], []
         if keys:
             yield closed()
 
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    rows = rows.repartitionByRange(F.col("k"), F.crc32("t")).sortWithinPartitions("k", F.crc32("t"), "t")
-    rows.mapInArrow(segments, _SCHEMA).write.parquet(path)
+    # Equal rows are told apart by a random number, so that they can lie in several ranges.
+    rows = rows.withColumn("r", F.rand(11)).repartitionByRange(F.col("k"), F.crc32("t"), "r").sortWithinPartitions("k", F.crc32("t"), "t")
+    with tidy(df.sparkSession):
+        rows.mapInArrow(segments, _SCHEMA).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS, with_ids: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,10 +29,9 @@ def test_planes(kind, n):
     assert (T.unpack(index, data, n, 1000) == ids).all()
 
 
-def test_encoder():
-    e = T.PieceEncoder()
-    for t, raw in zip(HARD, e.encode(HARD)):
-        assert np.frombuffer(raw, "<u4").tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+def encoded(texts, **how):
+    ids, counts = T.PieceEncoder().encode(pa.array(texts, pa.string()), **how)
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
 
 
 def test_encoder_is_the_library():
@@ -41,10 +41,25 @@ def test_encoder_is_the_library():
     fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [*HARD, "<|endoftext|>", "a <|endoftext|>b c<|endoftext|><|endoftext|> d", "<|endoftext|", "x  <|endoftext|>\n y"]
     want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(raw, "<u4").tolist() for raw in T.PieceEncoder().encode(texts)] == want
+    assert encoded(texts) == want and encoded(texts, end_id=2) == [w + [2] for w in want]
     assert want[HARD.index("<|endoftext|> a")] == [50256, 257]
 
 
+def test_encoder_of_random_and_long_texts(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab1'. \n\u00a0\u3000\u0085é漢\u1680 s") for _ in range(rng.randrange(40))) for _ in range(2000)]
+    texts += ["word and " * 200_000, "x" * 30_000 + " " + "y" * 700_000 + " z"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(texts) == want
+    monkeypatch.setattr(T, "MEMO", 50)
+    monkeypatch.setattr(T, "BLOCK", 64)
+    assert encoded(texts[:2000]) == want[:2000]
+
+
 def test_token_files(spark, tmp_path):
     rows = [(i * 3 % 17, t, "x") for i, t in enumerate(HARD)] + [(None, "null id", "x"), (5, "again", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, start string")
