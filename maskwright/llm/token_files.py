@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -244,6 +245,12 @@ class PieceEncoder:
         return out, counts
 
 
+@lru_cache(1)
+def _encoder(path: str | None) -> PieceEncoder:
+    """The encoder of a worker, whose table its next tasks find filled."""
+    return PieceEncoder(path)
+
+
 def write_token_files(
     df: DataFrame,
     path: str,
@@ -264,7 +271,7 @@ def write_token_files(
     """
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = PieceEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
         keys, lens, held, before, number = [], [], [], 0, 0
 
         def closed() -> pa.RecordBatch:
