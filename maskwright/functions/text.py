@@ -31,6 +31,32 @@ def let(value: str, body) -> str:
     return f"element_at(transform(array({value}), {v} -> {body(v)}), 1)"
 
 
+def running(values: str, combine: str = "sum") -> str:
+    """Array of the running sums, or with ``greatest`` the running maxima, of an array of ints.
+
+    Appending to an array copies it, so runs are made in blocks of about the root of the
+    length, and each block is then raised by what came before it.
+    """
+    a, x, b, i, k = name("a"), name("x"), name("b"), name("i"), name("k")
+    both = (lambda p, q: f"{p} + {q}") if combine == "sum" else (lambda p, q: f"greatest({p}, {q})")
+    least = "0" if combine == "sum" else "-2147483648"
+    none = "cast(array() as array<int>)"
+    fold = lambda s: f"aggregate({s}, {none}, ({a}, {x}) -> array_append({a}, {both(f'coalesce(get({a}, size({a}) - 1), {least})', x)}))"
+
+    def blocks(v: str) -> str:
+        def of(size: str) -> str:
+            each = f"transform(sequence(0, cast((size({v}) - 1) DIV {size} AS INT)), {k} -> {fold(f'slice({v}, {k} * {size} + 1, {size})')})"
+            return let(each, raised)
+
+        return let(f"cast(ceil(sqrt(size({v}))) AS INT)", of)
+
+    def raised(bs: str) -> str:
+        lasts = fold(f"transform({bs}, {b} -> element_at({b}, -1))")
+        return let(lasts, lambda last: f"flatten(transform({bs}, ({b}, {i}) -> transform({b}, {x} -> {both(x, f'coalesce(get({last}, {i} - 1), {least})')})))")
+
+    return let(values, lambda v: f"CASE WHEN size({v}) = 0 THEN {none} ELSE {blocks(v)} END")
+
+
 _first = re.compile(r"(?:\\b|\(\?<![^)]*\))(?:\(\?:)?(\\d|\[(?:[^\]\\]|\\.)+\]|[A-Za-z0-9])(?![?*|])")
 
 
@@ -59,21 +85,26 @@ def matches(text: str, pattern: str, groups: tuple[int, ...] = (), flags: str =
     rx = quoted(flags + quick(pattern))
 
     def placed(found: str) -> str:
-        acc, i, x = name("acc"), name("i"), name("x")
-
-        def starts(gaps: str) -> str:
-            return (
-                f"aggregate(sequence(0, size({found}) - 1), cast(array() as array<int>), ({acc}, {i}) -> array_append({acc}, "
-                f"CASE WHEN {i} = 0 THEN length({gaps}[0]) ELSE {acc}[{i} - 1] + length({found}[{i} - 1]) + length({gaps}[{i}]) END))"
-            )
+        i, x, k, p, q = name("i"), name("x"), name("k"), name("p"), name("q")
+        total = lambda steps, first, n: f"aggregate(slice({steps}, {first} + 1, {n}), 0, ({p}, {q}) -> {p} + {q})"
 
-        def rows(at: str, held: tuple[str, ...] = ()) -> str:
+        def rows(steps: str, heads: str, held: tuple[str, ...] = ()) -> str:
             if len(held) < len(groups):
-                return let(f"regexp_extract_all({text}, {rx}, {groups[len(held)]})", lambda g: rows(at, (*held, g)))
+                return let(f"regexp_extract_all({text}, {rx}, {groups[len(held)]})", lambda g: rows(steps, heads, (*held, g)))
             fields = "".join(f", {h}[{i}] as g{g}" for g, h in zip(groups, held))
-            return f"transform({found}, ({x}, {i}) -> struct({at}[{i}] as at, {x} as v{fields}))"
+            at = f"{heads}[shiftright({i}, 7)] + {total(steps, f'{i} - {i} % 128', f'{i} % 128 + 1')}"
+            return f"transform({found}, ({x}, {i}) -> struct({at} as at, {x} as v{fields}))"
+
+        def sums(steps: str) -> str:
+            """The sum before every 128th step, so that no place needs more than the steps since."""
+            after = total(steps, f"{k} * 128", "128")
+            heads = f"aggregate(sequence(0, shiftright(size({steps}), 7)), array(0), ({x}, {k}) -> array_append({x}, {x}[{k}] + {after}))"
+            return let(heads, lambda h: rows(steps, h))
+
+        def steps(gaps: str) -> str:
+            return let(f"transform({found}, ({x}, {i}) -> length({gaps}[{i}]) + CASE WHEN {i} = 0 THEN 0 ELSE length({found}[{i} - 1]) END)", sums)
 
-        return let(let(f"split({text}, {rx}, -1)", starts), rows)
+        return let(f"split({text}, {rx}, -1)", steps)
 
     empty = "cast(array() as array<struct<at:int,v:string" + "".join(f",g{g}:string" for g in groups) + ">>)"
     return let(f"regexp_extract_all({text}, {rx}, 0)", lambda f: f"CASE WHEN size({f}) = 0 THEN {empty} ELSE {placed(f)} END")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from ..functions.groups import with_place
 from . import names
 
 
@@ -19,7 +20,8 @@ class Detector:
     ``base``: confidence, or pairs (SQL condition on ``{v}``, confidence) ended by a number.
     ``keyword`` raises it to ``boosted`` if it is in the ``window`` characters before the
     value. ``grouped``: the value is group 2. ``where``: SQL condition on the match ``{v}``
-    and the groups ``{g1}``, ``{g2}``. ``suppress`` drops a finding after such a text.
+    and the groups ``{g1}``, ``{g2}``. ``value``: the group that is the value, which begins where
+    those of ``before`` end. ``suppress`` drops a finding after such a text.
     ``needs`` names a kind of character that every match has.
     """
 
@@ -33,6 +35,8 @@ class Detector:
     grouped: bool = False
     groups: tuple[int, ...] = ()
     where: str | None = None
+    value: int = 0
+    before: tuple[int, ...] = ()
     prefilter: tuple[str, ...] = ()
     suppress: str | None = None
     window: int = 25
@@ -187,7 +191,7 @@ SECRETS = [
     D("telegram_bot", "TELEGRAM_BOT_TOKEN", r"\b\d{8,10}:[A-Za-z0-9_\-]{35}(?![A-Za-z0-9_\-])", 0.95, prefilter=(":",)),
     D("discord_token", "DISCORD_TOKEN", r"\b[MNO][A-Za-z0-9_\-]{23,25}\.[A-Za-z0-9_\-]{6}\.[A-Za-z0-9_\-]{27,38}", 0.9, prefilter=(".",)),
     D("ssh_pubkey", "SSH_PUBKEY", r"\bssh-(?:rsa|ed25519|dss)\s+[A-Za-z0-9+/]{40,}={0,3}", 0.9, prefilter=("ssh-",)),
-    D("vault_token", "VAULT_TOKEN", r"\bhvs\.[A-Za-z0-9_\-]{24,}", 0.96, prefilter=("hvs.",)),
+    D("hashicorp_vault", "VAULT_TOKEN", r"\bhvs\.[A-Za-z0-9_\-]{24,}", 0.96, prefilter=("hvs.",)),
     D("doppler_token", "DOPPLER_TOKEN", r"\bdp\.(?:st|pt|ct)\.[A-Za-z0-9_\-.]{40,}", 0.96, prefilter=("dp.",)),
     D("planetscale_token", "PLANETSCALE_TOKEN", r"\bpscale_(?:pw|tkn)_[A-Za-z0-9_\-.]{32,}", 0.96, prefilter=("pscale_",)),
     D("linear_token", "LINEAR_TOKEN", r"\blin_api_[A-Za-z0-9]{40,}\b", 0.96, prefilter=("lin_api_",)),
@@ -211,13 +215,13 @@ CATALOG = [replace(d, needs="digit" if d.name in _DIGIT else "cyrillic" if "[А-
 def custom(row: dict) -> Detector:
     """A detector from a configuration row: name, pattern, and if wanted type, confidence, group, ignore_case.
 
-    The pattern is Java's. With ``group`` the value is that group; the text before it in the
-    match is found by matching again, so the pattern must not depend on where it starts.
+    The pattern is Java's. With ``group`` the value is that group, wherever its text occurs
+    in the match besides. The group must not be repeated, nor in a repeated part: ValueError.
     """
     group = int(row.get("group", 0))
     flags = "(?iU)" if row.get("ignore_case") else "(?U)"
-    made = D(row["name"], row.get("type") or row["name"].upper(), row["pattern"], float(row.get("confidence", 0.9)), flags=flags)
-    return replace(made, groups=(group,)) if group else made
+    pattern, value, before = with_place(row["pattern"], group) if group else (row["pattern"], 0, ())
+    return D(row["name"], row.get("type") or row["name"].upper(), pattern, float(row.get("confidence", 0.9)), flags=flags, value=value, before=before)
 
 
 def active(disabled=(), enabled=(), custom_patterns=()) -> list[Detector]:

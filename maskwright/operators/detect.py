@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.checks import CHECKS
-from ..functions.text import FINDING, let, matches, name, quoted
+from ..functions.text import FINDING, let, matches, name, quoted, running
 from .catalog import Detector
 from .taxonomy import CATEGORY_OF, severity_of, severity_rank
 
@@ -27,12 +27,12 @@ NEEDS = {"digit": r"\p{Nd}", "cyrillic": "[А-яЁё]"}
 
 def findings_of(d: Detector, number: int, text: str) -> str:
     """Array of the findings of one detector, before any filter."""
-    groups = (1, 2) if d.grouped else d.groups
+    groups = (1, 2) if d.grouped else (*d.before, d.value) if d.value else d.groups
     x, y, z = name("x"), name("y"), name("z")
     if d.grouped:
         start, value = f"{x}.at + length({x}.g1)", f"{x}.g2"
-    elif d.groups and d.where is None:
-        start, value = f"{x}.at + instr({x}.v, {x}.g{d.groups[0]}) - 1", f"{x}.g{d.groups[0]}"
+    elif d.value:
+        start, value = " + ".join([f"{x}.at", *(f"length({x}.g{g})" for g in d.before)]), f"{x}.g{d.value}"
     else:
         start, value = f"{x}.at", f"{x}.v"
     caps = "".join(f", 'g{g}', {x}.g{g}" for g in groups)
@@ -107,15 +107,23 @@ def resolved(found: str) -> str:
     into clusters that cannot touch each other, so a finding is only ever held against its
     own cluster.
     """
-    a, x, c, k, f = name("a"), name("x"), name("c"), name("k"), name("f")
+    x, c, k, f, i = name("x"), name("c"), name("k"), name("f"), name("i")
     by_start = lambda v: f"array_sort(transform({v}, {f} -> named_struct('start', {f}.start, 'f', {f})))"
-    state = f"named_struct('stop', 0, 'cur', {NONE}, 'out', cast(array() as array<array<{FINDING}>>))"
-    step = (
-        f"CASE WHEN {x}.start < {a}.stop OR size({a}.cur) = 0 "
-        f"THEN named_struct('stop', greatest({a}.stop, {x}.f.end), 'cur', array_append({a}.cur, {x}.f), 'out', {a}.out) "
-        f"ELSE named_struct('stop', {x}.f.end, 'cur', array({x}.f), 'out', array_append({a}.out, {a}.cur)) END"
-    )
-    clusters = lambda v: f"aggregate({by_start(v)}, {state}, ({a}, {x}) -> {step}, {a} -> array_append({a}.out, {a}.cur))"
+
+    def clusters(v: str) -> str:
+        """Slices of the sorted findings between places where all before have ended."""
+        def cut(r: str) -> str:
+            ends = running(f"transform({r}, {f} -> {f}.f.end)", "greatest")
+
+            def of(e: str) -> str:
+                firsts = f"filter(sequence(0, size({r}) - 1), {i} -> {i} = 0 OR {r}[{i}].start >= {e}[{i} - 1])"
+                return let(firsts, lambda at: (
+                    f"transform({at}, ({x}, {i}) -> transform(slice({r}, {x} + 1, coalesce(get({at}, {i} + 1), size({r})) - {x}), {f} -> {f}.f))"))
+
+            return let(ends, of)
+
+        return let(by_start(v), cut)
+
     ranked = f"array_sort(transform({c}, {f} -> named_struct('a', -{f}.confidence, 'b', {f}.start - {f}.end, 'c', {f}.start, 'd', {f}.type, 'e', {f}.ord, 'f', {f})))"
     free = f"NOT exists({k}, {f} -> {f}.start < {x}.f.end AND {x}.f.start < {f}.end)"
     greedy = f"aggregate({ranked}, {NONE}, ({k}, {x}) -> CASE WHEN {free} THEN array_append({k}, {x}.f) ELSE {k} END)"

@@ -153,24 +153,43 @@ def replaced(found: str, strategy: Strategy) -> str:
 
     The number of a finding counts the distinct values of its type in order of appearance.
     """
-    f, g = name("f"), name("g")
+    f, g, t, e = name("f"), name("g"), name("t"), name("e")
 
     def rows(v: str) -> str:
-        same = f"array_distinct(transform(filter({v}, {g} -> {g}.type = {f}.type), {g} -> {g}.value))"
-        n = f"array_position({same}, {f}.value)"
-        return f"transform({v}, {f} -> named_struct('start', {f}.start, 'end', {f}.end, 'type', {f}.type, 'value', {f}.value, 'replacement', {strategy.sql(f, n)}))"
+        pairs = f"array_distinct(transform({v}, {g} -> named_struct('type', {g}.type, 'value', {g}.value)))"
+
+        def numbered(values: str) -> str:
+            n = f"array_position(element_at({values}, {f}.type), {f}.value)"
+            return f"transform({v}, {f} -> named_struct('start', {f}.start, 'end', {f}.end, 'type', {f}.type, 'value', {f}.value, 'replacement', {strategy.sql(f, n)}))"
+
+        by_type = lambda p: (
+            f"map_from_entries(transform(array_distinct(transform({p}, {g} -> {g}.type)), {t} -> "
+            f"struct({t}, transform(filter({p}, {g} -> {g}.type = {t}), {e} -> {e}.value))))")
+        return let(let(pairs, by_type), numbered)
 
     return let(found, rows)
 
 
 def masked(text: str, rows: str) -> str:
     """The text with its findings replaced; ``rows`` as made by :func:`replaced`."""
-    r, i = name("r"), name("i")
+    r, i, k = name("r"), name("i"), name("k")
 
     def pieces(v: str) -> str:
-        prev = f"CASE WHEN {i} = 0 THEN 0 ELSE {v}[{i} - 1].end END"
-        each = f"transform({v}, ({r}, {i}) -> concat(substr({text}, ({prev}) + 1, {r}.start - ({prev})), {r}.replacement))"
-        return f"CASE WHEN size({v}) = 0 THEN {text} ELSE concat(array_join({each}, ''), substr({text}, element_at({v}, -1).end + 1)) END"
+        # A place of a text is found from the text's start, so texts are first cut at every so many findings.
+        size = f"cast(ceil(sqrt(size({v}))) AS INT)"
+
+        def block(s: str) -> str:
+            low = f"CASE WHEN {k} = 0 THEN 0 ELSE {v}[{k} * {size} - 1].end END"
+
+            def of(lo: str) -> str:
+                prev = f"CASE WHEN {i} = 0 THEN {lo} ELSE {s}[{i} - 1].end END"
+                each = lambda chunk: f"transform({s}, ({r}, {i}) -> concat(substr({chunk}, ({prev}) - {lo} + 1, {r}.start - ({prev})), {r}.replacement))"
+                return let(f"substr({text}, {lo} + 1, element_at({s}, -1).end - {lo})", lambda chunk: f"array_join({each(chunk)}, '')")
+
+            return let(low, of)
+
+        blocks = f"transform(sequence(0, cast((size({v}) - 1) DIV {size} AS INT)), {k} -> {let(f'slice({v}, {k} * {size} + 1, {size})', block)})"
+        return f"CASE WHEN size({v}) = 0 THEN {text} ELSE concat(array_join({blocks}, ''), substr({text}, element_at({v}, -1).end + 1)) END"
 
     return let(rows, pieces)
 
@@ -182,12 +201,22 @@ def stats(rows: str) -> str:
         f"map_from_entries(transform(array_distinct(transform({v}, {f} -> {f}.type)), {t} -> struct({t}, size(filter({v}, {f} -> {f}.type = {t})))))"))
 
 
+def last_by_replacement(rows: str, field: str) -> str:
+    """Map of replacement to a field; where two meet, the last wins. Each replacement's rows are sought only then."""
+    f, g, k = name("f"), name("g"), name("k")
+
+    def of(v: str) -> str:
+        keys = f"array_distinct(transform({v}, {f} -> {f}.replacement))"
+        pairs = f"array_distinct(transform({v}, {f} -> named_struct('k', {f}.replacement, 'v', {f}.{field})))"
+        last = f"transform({keys}, {k} -> named_struct('k', {k}, 'v', element_at(filter({v}, {g} -> {g}.replacement = {k}), -1).{field}))"
+        return let(pairs, lambda p: f"map_from_entries(CASE WHEN size({p}) = size({keys}) THEN {p} ELSE {last} END)")
+
+    return let(rows, of)
+
+
 def vault(rows: str) -> str:
     """Map of replacement to original; where two meet, the last wins."""
-    f, g, k = name("f"), name("g"), name("k")
-    return let(rows, lambda v: (
-        f"map_from_entries(transform(array_distinct(transform({v}, {f} -> {f}.replacement)), {k} -> "
-        f"struct({k}, element_at(filter({v}, {g} -> {g}.replacement = {k}), -1).value)))"))
+    return last_by_replacement(rows, "value")
 
 
 def restored(text: str, vault_: str) -> str:

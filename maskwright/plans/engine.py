@@ -16,7 +16,7 @@ from ..functions.normalize import normalized
 from ..functions.text import name
 from ..operators import detect
 from ..operators.catalog import Detector, active
-from ..operators.replace import Strategy, masked, preview, replaced, restored, stats, vault
+from ..operators.replace import Strategy, last_by_replacement, masked, preview, replaced, restored, stats, vault
 from ..operators.taxonomy import classify, resolve_preset, with_taxonomy
 from .config import Config
 
@@ -123,20 +123,16 @@ def redact(df: DataFrame, text: str = "text", eng: Engine | None = None) -> Data
     Lengths and offsets are those of the normalised text if there is one. The vault is empty
     unless the engine is reversible. Null stays null, with no findings.
     """
-    eng, f, k = eng or engine(), name("f"), name("k")
+    eng, f = eng or engine(), name("f")
     df = df.withColumn(TEXT, eng.prepared(F.col(text))).withColumn(FOUND, F.expr(eng.found_sql(TEXT)))
     df = df.withColumn(ROWS, F.expr(replaced(FOUND, eng.strategy)))
     fields = ", ".join(f"'{x}', {f}.{x}" for x in ("type", "start", "end", "value", "confidence", "detector"))
-    kinds = (
-        f"map_from_entries(transform(array_distinct(transform({ROWS}, {f} -> {f}.replacement)), {k} -> "
-        f"struct({k}, element_at(filter({ROWS}, {f} -> {f}.replacement = {k}), -1).type)))"
-    )
     df = df.drop(text).withColumns({
         "original_length": F.length(TEXT),
         "masked_text": F.expr(masked(TEXT, ROWS)),
         "findings": F.expr(f"transform({FOUND}, {f} -> named_struct({fields}))"),
         "stats": F.expr(stats(ROWS)),
-        "placeholders": F.expr(kinds),
+        "placeholders": F.expr(last_by_replacement(ROWS, "type")),
         "vault": F.expr(vault(ROWS) if eng.reversible else "cast(map() as map<string,string>)"),
     })
     return df.drop(TEXT, FOUND, ROWS)

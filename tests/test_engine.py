@@ -91,6 +91,28 @@ def test_filters(spark):
         resolve_preset("none")
 
 
+def test_custom_group(spark):
+    """The value's place is the group's, also where its text stands elsewhere in the match."""
+    def masked(text, pattern, group):
+        eng = E.engine(Config(custom_patterns=({"name": "w", "pattern": pattern, "group": group},)), only=["W"])
+        return E.redact(spark.createDataFrame([(text,)], "text string"), eng=eng).first()["masked_text"]
+
+    assert masked("x1=1 rest, x2=2", r"x\d=(\d)", 1) == "x1=[W_1] rest, x2=[W_2]"
+    assert masked("k=w12 k=v", r"(?:k=(?:v|w(\d+)))", 1) == "k=w[W_1] k=v"
+    assert masked("'ab' \"ab'", r"(['\"])(\w+)\1", 2) == "'[W_1]' \"ab'"
+    for pattern in (r"(\d)+", r"(?:a(b))+", r"(?<=(a))b"):
+        with pytest.raises(ValueError):
+            E.engine(Config(custom_patterns=({"name": "w", "pattern": pattern, "group": 1},)))
+
+
+def test_many_findings(spark):
+    """Places, clusters and masking of a text with more findings than a block."""
+    text = "".join(f"é u{i}@b.com x " for i in range(1000))
+    r = E.redact(spark.createDataFrame([(text,)], "text string"), eng=E.engine(only=["EMAIL"], reversible=True)).first()
+    assert all(text[f["start"] : f["end"]] == f["value"] for f in r["findings"]) and r["stats"] == {"EMAIL": 1000}
+    assert r["masked_text"] == "".join(f"é [EMAIL_{i + 1}] x " for i in range(1000)) and len(r["vault"]) == 1000
+
+
 def test_overlaps(spark):
     from maskwright.functions.text import FINDING
 
