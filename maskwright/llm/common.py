@@ -22,13 +22,16 @@ SPACE = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine), a temporary folder is made and set.
+    Only where that is unset on one machine (as in tests), a temporary folder is made and set;
+    on a cluster it must be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             folder = set_dir.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             folder = f"file://{tempfile.mkdtemp(prefix='maskwright-')}"
             spark.sparkContext.setCheckpointDir(folder)
