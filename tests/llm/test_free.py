@@ -147,6 +147,24 @@ def test_components_without_stars(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_hot_groups(spark):
+    """A third of all rows equal, a third near copies on both sides of the threshold, and one common passage."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(5000)}"
+    base, passage = [word() for _ in range(60)], [word() for _ in range(40)]
+    rows = [" ".join(base)] * 150
+    for _ in range(150):
+        t = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            t[rng.randrange(len(t))] = word()
+        rows.append(" ".join(t))
+    rows += [" ".join([word() for _ in range(rng.randrange(1, 30))] + passage) for _ in range(150)]
+    rows = [(1000 - i, t) for i, t in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_duplicate_components(df).collect()}
+    assert got == brute_components(rows)
+
+
 def test_one_of_each(spark):
     rows = near_copies(4, 60) + [(None, "null id")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -255,6 +273,19 @@ def test_text_does_not_depend_on_groups(spark):
         assert {r["page_id"]: r["text"] for r in H.extract_main_text(df, group_chars=chars).collect()} == want, chars
 
 
+def test_hostile_pages_are_read_in_linear_time():
+    import time
+
+    for page in ("<b c " * 200_000, '<a "' * 200_000, "<b>" * 50_000 + "</i>" * 50_000, "<object>x" * 50_000, "<!" * 100_000):
+        began = time.thread_time()
+        H.page_blocks(page)
+        assert time.thread_time() - began < 10, page[:10]
+    deep = H.page_blocks("<div>" * 6000 + "<nav>menu</nav><p>in</p>" + "</div>" * 6000 + "<p>after</p>")
+    assert [(b.text, b.furniture) for b in deep] == [("menu", True), ("in", False), ("after", False)]
+    assert [b.text for b in H.page_blocks('<p>one</p><a href="x>two</a><p>three</p>')] == ["one", "two", "three"]
+    assert [b.text for b in H.page_blocks("a < b and <c")] == ["a < b and <c"]
+
+
 def test_near_copies_keep_their_text(spark):
     rng = random.Random(6)
     own = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n)]
