@@ -7,7 +7,9 @@ Patterns are Java's, always with Unicode classes; ``(?iu:`` scopes fold every al
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, replace
+from importlib.metadata import entry_points
 
 from ..functions.groups import with_place
 from . import names
@@ -224,9 +226,36 @@ def custom(row: dict) -> Detector:
     return D(row["name"], row.get("type") or row["name"].upper(), pattern, float(row.get("confidence", 0.9)), flags=flags, value=value, before=before)
 
 
+PLUGIN_GROUP = "maskwright.detectors"
+
+
+def plugins() -> list[Detector]:
+    """Detectors of installed packages: entry points that give configuration rows or detectors.
+
+    A plugin that fails, or a row that is no detector, is left out and named in a warning.
+    """
+    out: list[Detector] = []
+    for point in entry_points(group=PLUGIN_GROUP):
+        try:
+            rows = list(point.load()())
+        except Exception as e:  # noqa: BLE001 - foreign code
+            warnings.warn(f"plugin {point.name} failed: {e!r}", stacklevel=2)
+            continue
+        for row in rows:
+            try:
+                out.append(row if isinstance(row, Detector) else custom(row))
+            except (AttributeError, KeyError, TypeError, ValueError) as e:
+                warnings.warn(f"plugin {point.name} gave no detector: {e!r}", stacklevel=2)
+    return out
+
+
+def catalog(custom_patterns=()) -> list[Detector]:
+    """All detectors: the catalog, then those of plugins, then custom ones."""
+    return [*CATALOG, *plugins(), *map(custom, custom_patterns)]
+
+
 def active(disabled=(), enabled=(), custom_patterns=()) -> list[Detector]:
     """Detectors that run, in catalog order; names or types; enabling beats disabling."""
     off, on = set(disabled), set(enabled)
-    rows = [*CATALOG, *map(custom, custom_patterns)]
     hit = lambda d, names_: d.name in names_ or d.type in names_
-    return [d for d in rows if hit(d, on) or (d.default and not hit(d, off))]
+    return [d for d in catalog(custom_patterns) if hit(d, on) or (d.default and not hit(d, off))]

@@ -77,6 +77,9 @@ def engine(
     allowlist=None,
     min_severity: str | None = None,
     reversible: bool | None = None,
+    normalize: bool | None = None,
+    fold_homoglyphs: bool | None = None,
+    max_input_size: int | None = None,
 ) -> Engine:
     """Explicit options beat the preset, the preset beats the configuration."""
     c = config or Config()
@@ -96,9 +99,9 @@ def engine(
         allowlist=tuple(c.allowlist if allowlist is None else allowlist),
         min_severity=c.min_severity if min_severity is None else min_severity,
         reversible=c.reversible if reversible is None else reversible,
-        normalize=c.normalize,
-        fold_homoglyphs=c.fold_homoglyphs,
-        max_input_size=c.max_input_size,
+        normalize=c.normalize if normalize is None else normalize,
+        fold_homoglyphs=c.fold_homoglyphs if fold_homoglyphs is None else fold_homoglyphs,
+        max_input_size=c.max_input_size if max_input_size is None else max_input_size,
     )
 
 
@@ -187,3 +190,16 @@ def evaluate(found: DataFrame, expected: DataFrame, key: str = "doc_id") -> Data
     sums = sums.withColumns({"precision": ratio("tp", "fp"), "recall": ratio("tp", "fn")})
     f1 = F.when(F.col("precision") + F.col("recall") == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
     return sums.withColumn("f1", f1)
+
+
+def recall_by_category(found: DataFrame, expected: DataFrame, key: str = "doc_id") -> DataFrame:
+    """True positives, misses and recall of expected types, by category: category, tp, fn, recall.
+
+    Both have (key, type); what counts is whether a type is in a text at all. Categories that
+    nothing is expected of have no row.
+    """
+    got = found.select(key, "type").distinct().withColumn("got", F.lit(1))
+    want = with_taxonomy(expected.select(key, "type").distinct()).select(key, "type", "category")
+    hit = F.coalesce("got", F.lit(0))
+    sums = want.join(got, [key, "type"], "left").groupBy("category").agg(F.sum(hit).alias("tp"), F.sum(1 - hit).alias("fn"))
+    return sums.withColumn("recall", F.col("tp") / (F.col("tp") + F.col("fn")))

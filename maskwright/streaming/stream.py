@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.engine import Engine, engine, redact, scan
+from ..sources.readers import blocks
 
 
 def read_lines(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
@@ -13,6 +14,12 @@ def read_lines(spark: SparkSession, folder: str, max_files: int = 1000) -> DataF
     return spark.readStream.option("maxFilesPerTrigger", max_files).text(folder).withColumnRenamed("value", "text")
 
 
+def read_blocks(spark: SparkSession, folder: str, size: int = 2000, max_files: int = 1000) -> DataFrame:
+    """Blocks of up to ``size`` lines of the files that arrive in a folder, so findings may span lines."""
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder)
+    return blocks(lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("text")), size)
+
+
 def redact_stream(stream: DataFrame, text: str = "text", eng: Engine | None = None) -> DataFrame:
     """The stream with masked_text, findings and the rest of a redaction."""
     return redact(stream, text, eng or engine())
