@@ -3,9 +3,9 @@
 Base spans come from four patterns with checks. Further candidates come from a wider pattern;
 labelers (shape, checksum, gazetteer of lead words, context, border) vote for or against each,
 expectation-maximisation over all votes of the corpus estimates how reliable every labeler
-is, and a logistic span classifier is trained on the estimated labels. What it accepts, and
-no base span overlaps, is added. All per-row work uses built-in functions; the driver sees
-only counts of vote patterns, of which there is a fixed number at most.
+is for candidates of each kind, and a logistic span classifier a kind is trained on the
+estimated labels. What it accepts, and no base span overlaps, is added. All per-row work uses
+built-in functions; the driver sees only counts of vote patterns, a fixed number at most.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import running
 from .common import add_columns, let
 
 KINDS = ("email", "ip", "card", "phone")
@@ -35,7 +36,7 @@ CANDIDATE = (
     r"(?<![0-9A-Za-z])(?:[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?"
     r"|[0-9]{3}-[0-9]{2}-[0-9]{4}"
     r"|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"
-    r"|[0-9a-f]{32,64})(?![0-9A-Za-z])"
+    r"|(?:sk|pk|rk|gh[opsu]|glpat|xox[abp]|npm|hf)[_-][0-9A-Za-z_-]{16,}+|[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 )
 #: Words that lead in each kind, and words that speak against all.
 LEADS = {
@@ -52,16 +53,20 @@ def spans(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array of (start, stop, value), in code points, stop exclusive."""
 
     def located(gaps: Column, values: Column) -> Column:
-        step = lambda acc, v: F.struct(
-            (acc["at"] + F.length(F.get(gaps, acc["k"])) + F.length(v)).alias("at"),
-            (acc["k"] + 1).alias("k"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.length(F.get(gaps, acc["k"]))).alias("start"),
-                (acc["at"] + F.length(F.get(gaps, acc["k"])) + F.length(v)).alias("stop"),
-                v.alias("value")))).alias("out"))
-        none = F.lit(None).cast("array<struct<start:int,stop:int,value:string>>")
-        empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.coalesce(none, F.array().cast("array<struct<start:int,stop:int,value:string>>")).alias("out"))
-        return F.aggregate(values, empty, step, lambda acc: acc["out"])
+        length = lambda i: F.length(F.get(gaps, i)) + F.coalesce(F.length(F.get(values, i - 1)), F.lit(0))
+        total = lambda steps, first, n: F.aggregate(F.slice(steps, first + 1, n), F.lit(0), lambda p, q: p + q)
+
+        def heads(steps: Column) -> Column:
+            """What lies before every 128th step, so that no place needs more than the steps since."""
+            blocks = F.sequence(F.lit(0), F.shiftright(F.size(steps), 7))
+            return F.aggregate(blocks, F.array(F.lit(0)), lambda acc, k: F.array_append(acc, F.get(acc, k) + total(steps, k * 128, F.lit(128))))
+
+        def placed(steps: Column, before: Column) -> Column:
+            start = lambda i: F.get(before, F.shiftright(i, 7)) + total(steps, i - i % 128, i % 128 + 1)
+            starts = F.transform(values, lambda v, i: F.struct(start(i).alias("start"), v.alias("value")))
+            return F.transform(starts, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("stop"), x["value"].alias("value")))
+
+        return let(F.transform(values, lambda v, i: length(i)), lambda steps: let(heads(steps), lambda before: placed(steps, before)))
 
     none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
     found = lambda values: F.when(F.size(values) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda gaps: located(gaps, values)))
@@ -118,9 +123,10 @@ def candidates(text: Column) -> Column:
     def voted(x: Column) -> Column:
         v, start = x["value"], x["start"]
         kind = (
-            F.when(F.rlike(v, F.lit("^[A-Z]")), "iban")
+            F.when(F.rlike(v, F.lit("^[0-9A-F]{32,}$")), "secret")
+            .when(F.rlike(v, F.lit("^[A-Z]")), "iban")
             .when(F.rlike(v, F.lit("^[0-9]{3}-[0-9]{2}-")), "ssn")
-            .when(F.rlike(v, F.lit("^[0-9a-f]{32,}$")), "secret")
+            .when(F.rlike(v, F.lit("^(?:[a-z]+[_-]|[0-9a-f]{32,}$)")), "secret")
             .otherwise("local_phone")
         )
         lead = F.substring(text, F.greatest(start - WINDOW, F.lit(0)) + 1, F.least(start, F.lit(WINDOW)))
@@ -131,14 +137,14 @@ def candidates(text: Column) -> Column:
         def votes(kind: Column) -> Column:
             shape = (
                 F.when(kind == "iban", yes(F.rlike(v, F.lit(r"^[A-Z]{2}[0-9]{2}(?:[A-Z0-9]+|(?:\x20[A-Z0-9]{4})+(?:\x20[A-Z0-9]{1,3})?)$"))))
-                .when(kind == "secret", yes(F.length(v).isin(32, 40, 48, 56, 64)))
+                .when(kind == "secret", yes(F.length(v).isin(32, 40, 48, 56, 64) | F.rlike(v, F.lit("[_-]"))))
                 .when(kind == "local_phone", yes(F.rlike(v, F.lit(r"^(?:\([0-9]{3}\)\x20|[0-9]{3}([.-]))[0-9]{3}(?:\1|-)[0-9]{4}$"))))
                 .otherwise(1)
             )
             check = (
                 F.when(kind == "iban", yes(_iban_rest(v) == 1))
                 .when(kind == "ssn", yes(~F.rlike(v, F.lit("^(?:000|666|9)|-00-|-0000$"))))
-                .when(kind == "secret", yes(F.rlike(v, F.lit("[0-9]")) & F.rlike(v, F.lit("[a-f]"))))
+                .when(kind == "secret", yes(F.rlike(v, F.lit("[0-9]")) & F.rlike(v, F.lit("[A-Za-z]"))))
                 .otherwise(yes(F.rlike(v, F.lit(r"^\(?[2-9]"))))
             )
             gazetteer = F.lit(None).cast("int")
@@ -152,7 +158,7 @@ def candidates(text: Column) -> Column:
         return let(kind, lambda k: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), k.alias("kind"), votes(k).alias("votes")))
 
     shaped = "array<struct<start:int,stop:int,kind:string,votes:array<int>>>"
-    guard = F.rlike(text, F.lit("[0-9a-f]{32}|[0-9]{2}-[0-9]{4}|[0-9]{3}[.\\x20-][0-9]{4}|[A-Z]{2}[0-9]{2}"))
+    guard = F.rlike(text, F.lit("[0-9a-f]{32}|[0-9A-F]{32}|[a-z][_-][0-9A-Za-z_-]{16}|[0-9]{2}-[0-9]{4}|[0-9]{3}[.\\x20-][0-9]{4}|[A-Z]{2}[0-9]{2}"))
     return F.when(guard, F.transform(spans(text, CANDIDATE), voted)).otherwise(F.array().cast(shaped))
 
 
@@ -205,40 +211,64 @@ def train_classifier(counts: dict[tuple[int, ...], float], prior: float, chances
     return weights
 
 
-def fit(docs: DataFrame) -> list[float]:
-    """Classifier weights from the votes on all candidates of ``docs``."""
-    votes = docs.select(F.explode(candidates(F.coalesce(F.col("text"), F.lit("")))).alias("c")).groupBy("c.votes")
-    rows = votes.agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** 5 rows at most
-    counts = {tuple(r["votes"]): float(r["n"]) for r in rows}
-    if not counts:
-        return [-1.0] + [0.0] * (2 * len(LABELERS))
-    return train_classifier(counts, *fit_reliabilities(counts))
+#: What the classifier gives for kinds that no candidate taught: never.
+UNTAUGHT = [-1.0] + [0.0] * (2 * len(LABELERS))
 
 
-def found(docs: DataFrame, weights: list[float]) -> DataFrame:
-    """``docs`` with ``base`` and ``added``: arrays of (start, rank, kind, stop), by start, then kind.
+def fit(docs: DataFrame) -> dict[str, list[float]]:
+    """Classifier weights by kind, from the votes on all candidates of ``docs``.
 
-    Null text has no span. Old columns of these names give way.
+    Each kind has reliabilities of its own, as a checksum says much of an IBAN and little of a
+    telephone number. Null and empty texts have no candidates; repeated rows count each.
     """
+    seen = docs.select(F.explode(candidates(F.coalesce(F.col("text"), F.lit("")))).alias("c")).groupBy("c.kind", "c.votes")
+    counts: dict[str, dict[tuple[int, ...], float]] = {}
+    for r in seen.agg(F.count(F.lit(1)).alias("n")).collect():  # 4 * 3 ** 5 rows at most
+        counts.setdefault(r["kind"], {})[tuple(r["votes"])] = float(r["n"])
+    return {kind: train_classifier(own, *fit_reliabilities(own)) for kind, own in counts.items()}
+
+
+def _accepted(c: Column, weights: dict[str, list[float]]) -> Column:
+    """Whether the classifier of the candidate's kind says yes."""
     n = len(LABELERS)
-    shaped = "array<struct<start:int,rank:int,kind:string,stop:int>>"
 
-    def accepted(c: Column) -> Column:
-        score = F.lit(weights[0])
+    def score(w: list[float]) -> Column:
+        out = F.lit(w[0])
         for j in range(n):
             vote = F.get(c["votes"], F.lit(j))
-            score = score + F.when(vote == 1, weights[1 + j]).when(vote == -1, weights[1 + n + j]).otherwise(0.0)
-        return score > 0
+            out = out + F.when(vote == 1, w[1 + j]).when(vote == -1, w[1 + n + j]).otherwise(0.0)
+        return out > 0
+
+    says = F.lit(False)
+    for kind in ADDED:
+        says = F.when(c["kind"] == kind, score(weights.get(kind, UNTAUGHT))).otherwise(says)
+    return says
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = add_columns(docs, base=base_spans(text), __c=candidates(text))
 
-    def free(base: Column) -> Column:
-        fits = F.filter("__c", lambda c: accepted(c) & ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-        rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in ADDED]), k).cast("int") + len(KINDS) - 1
-        return F.transform(fits, lambda c: F.struct(c["start"].alias("start"), rank(c["kind"]).alias("rank"), c["kind"].alias("kind"), c["stop"].alias("stop")))
+def found(docs: DataFrame, weights: dict[str, list[float]]) -> DataFrame:
+    """``docs`` with ``base`` and ``added``: arrays of (start, rank, kind, stop), by start, then kind.
 
-    return add_columns(df, added=F.when(F.size("__c") == 0, F.array().cast(shaped)).otherwise(let(F.col("base"), free))).drop("__c")
+    Null text has no span. Old columns of these names give way. A candidate is added if its
+    kind's classifier accepts it and no base span overlaps it; both are sorted together, so a
+    candidate is held against the furthest end before it and the first base span after it.
+    """
+    shaped = "array<struct<start:int,rank:int,kind:string,stop:int>>"
+    text = F.coalesce(F.col("text"), F.lit(""))
+    df = add_columns(docs, base=base_spans(text), __c=F.filter(candidates(text), lambda c: _accepted(c, weights)))
+    rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in ADDED]), k).cast("int") + len(KINDS) - 1
+    own = lambda c: F.struct(c["start"].alias("start"), rank(c["kind"]).alias("rank"), c["kind"].alias("kind"), c["stop"].alias("stop"))
+    df = add_columns(df, __all=F.when(F.size("__c") == 0, F.array().cast(shaped)).otherwise(F.array_sort(F.concat("base", F.transform("__c", own)))))
+    ends = F.expr(running(f"transform(__all, s -> if(s.rank < {len(KINDS)}, s.stop, 0))", "greatest"))
+    heads = F.expr(running(f"transform(reverse(__all), s -> if(s.rank < {len(KINDS)}, -s.start, -2147483647))", "greatest"))
+
+    def free(both: Column) -> Column:
+        """Candidates without an overlap; ``both``: ends so far, and the starts to come, negated, last first."""
+        marked = F.transform("__all", lambda s, i: F.struct(s.alias("s"), F.get(both["e"], i).alias("end"), (-F.get(both["h"], F.size("__all") - 1 - i)).alias("next")))
+        fits = F.filter(marked, lambda m: (m["s"]["rank"] >= len(KINDS)) & (m["end"] <= m["s"]["start"]) & (m["next"] >= m["s"]["stop"]))
+        return F.transform(fits, lambda m: m["s"])
+
+    added = F.when(F.size("__all") == 0, F.array().cast(shaped)).otherwise(let(F.struct(ends.alias("e"), heads.alias("h")), free))
+    return add_columns(df, added=added).drop("__c", "__all")
 
 
 def listed(spans_: Column) -> Column:

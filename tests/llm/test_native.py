@@ -164,10 +164,37 @@ def test_personal_data(spark):
         assert all(a["stop"] <= w[0] or w[3] <= a["start"] for a in r["added"] for w in want)
     listed = ",".join(f"{k}:{a}:{z}" for a, _, k, z in brute_spans("a@b.c 1.2.3.4"))
     one = spark.createDataFrame([(1, "a@b.c 1.2.3.4")], "doc_id long, text string")
-    got = pii_votes.found(one, [0.0] * 11).select(F.sha2(pii_votes.listed(F.col("base")).cast("binary"), 256)).first()[0]
+    got = pii_votes.found(one, {}).select(F.sha2(pii_votes.listed(F.col("base")).cast("binary"), 256)).first()[0]
     assert got == hashlib.sha256(listed.encode()).hexdigest()
 
 
+def test_added_spans(spark):
+    """Each kind by its own classifier; all accepted candidates without a base span over them, and no others."""
+    yes = {k: [1.0] + [0.0] * 10 for k in pii_votes.ADDED}
+    texts = ["tel 212-555-0187, ssn 123-45-6789", "x@" + "AB" * 16 + ".com " + "AB" * 16, "key sk-" + "a1" * 12 + " 4111-1111-1111-1111", "GB82 WEST 1234 5698 7654 32", None, ""]
+    texts += ["".join(f"a{i}@b.com 212-555-{i:04d} " for i in range(3000))]
+    df = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, Added string")
+    got = {r["doc_id"]: r for r in pii_votes.found(df, yes).collect()}
+    values = lambda k: [(s["kind"], texts[k][s["start"] : s["stop"]]) for s in got[k]["added"]]
+    assert values(0) == [("local_phone", "212-555-0187"), ("ssn", "123-45-6789")]
+    assert values(1) == [("secret", "AB" * 16)] and got[1]["added"][0]["start"] > 34
+    assert values(2) == [("secret", "sk-" + "a1" * 12)] and values(3) == [("iban", texts[3])]
+    assert got[4]["added"] == [] == got[5]["added"] and len(got[6]["base"]) == 3000 == len(got[6]["added"])
+    assert [v for _, v in values(6)] == [f"212-555-{i:04d}" for i in range(3000)]
+    assert not any(r["added"] for r in pii_votes.found(df, {}).collect())
+    only = pii_votes.found(df.limit(1), {"ssn": yes["ssn"]}).first()["added"]
+    assert [s["kind"] for s in only] == ["ssn"]
+
+
+def test_personal_data_edges(spark):
+    """Empty tables teach and hold nothing; repeated rows stay, each with its spans."""
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert pii_votes.fit(none) == {} and pii_votes.found(none, {}).count() == 0
+    twice = spark.createDataFrame([(1, "token = \"" + "0f" * 20 + "\"")] * 40 + [(2, "commit " + "0f" * 20 + "-1")] * 10, "doc_id long, text string")
+    rows = pii_votes.found(twice, pii_votes.fit(twice)).collect()
+    assert len(rows) == 50 and all(len(r["added"]) == 1 for r in rows if r["doc_id"] == 1)
+
+
 def test_votes_are_learned():
     good, bad = (1, 1, 1, 1, 0), (-1, -1, 0, -1, -1)
     counts = {good: 60.0, bad: 40.0, (1, 1, 0, 0, 0): 20.0, (1, -1, 0, -1, -1): 20.0}
