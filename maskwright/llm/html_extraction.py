@@ -9,9 +9,12 @@ hashed runs put them in common buckets, and what buckets connect is one content.
 are taken out, the others stay.
 
 Markup says where text may not come from (menus, forms, scripts and so on) and where an
-article is. All articles that a page declares, and its main element, are kept whole, also where
-copies of them stand on other pages; without any, what is not covered is the text. If less than half
-would be left, the page is a copy more than boilerplate, and what the markup allows stays.
+article is. Within the articles that a page declares, and its main element, texts repeat lines
+of others, so there a run must also be on more than half of the host's pages that declare one, and
+goes only where it covers a block as a whole. Suffix arrays over groups of their texts propose such
+runs: what is on more than half of all pages is on more than half of those of a group. Without a
+declared article, what is not covered is the text. If less than half would be left, the page is a
+copy more than boilerplate, and what the markup allows stays.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ MIN_PAGES = 4
 #: Buckets of a page, and minima that make one: pages that share 94 % of their runs meet in
 #: one almost surely, those that share 40 % do in one case of 200.
 BANDS, MINIMA = 8, 8
-#: HTML characters in a group, about.
+#: HTML characters in a group, about; of declared articles a quarter.
 GROUP_CHARS = 2_000_000
 #: Large hosts that are broadcast, at most.
 MAX_BROADCAST_HOSTS = 50_000
@@ -296,6 +299,12 @@ def buckets(x: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(b.tobytes(), seed=k) - 2**63 for k, b in enumerate(least.reshape(BANDS, MINIMA))]
 
 
+def frequent(pages: list[np.ndarray], run: int = MIN_RUN) -> np.ndarray:
+    """Substrings of ``run`` tokens on more than half of the pages."""
+    ids, begin, on = substrings(pages, run)
+    return ids[2 * np.diff(np.append(begin, len(on))) > len(pages)]
+
+
 def contents(ids: np.ndarray, begin: np.ndarray, on: np.ndarray, content: np.ndarray, most: int = MIN_PAGES) -> pa.ListArray:
     """For each of ``substrings``, up to ``most`` different contents of the pages that have it."""
     number = np.repeat(np.arange(len(ids)), np.diff(np.append(begin, len(on))))
@@ -327,29 +336,35 @@ def declares(blocks: list[Block]) -> bool:
     return any((b.article or b.main) and not b.furniture for b in blocks)
 
 
-def main_text(blocks: list[Block], cover: np.ndarray) -> str:
-    """Article text from a page's blocks and which of its tokens are covered.
+def lines(text: str) -> list[Block]:
+    """Blocks of a text that a page declares."""
+    return [Block(t, 0, False, 1, False, False) for t in text.split("\n")]
+
+
+def main_text(blocks: list[Block], cover: np.ndarray | None = None) -> str:
+    """Article text from a page's blocks and which of its tokens are covered, if any.
 
     All declared articles and the main element around or beside them are the text, in page
-    order; without any, the whole page. Inside a declared region only what the markup marks
-    goes; elsewhere covered runs and blocks of links go too.
+    order; without any, the whole page. Inside a declared region what the markup marks goes, and
+    blocks that are covered as a whole; elsewhere covered runs and blocks of links go too.
     """
-    if declares(blocks):
-        return "\n".join(b.text for b in blocks if not b.furniture and (b.article or b.main))
-    spans, at = [], 0
+    known, spans, at = declares(blocks), [], 0
     for b in blocks:
         n = b.text.count(" ") + 1
         spans.append((at, at + n))
         at += n
-    allowed = [(b, s, e) for b, (s, e) in zip(blocks, spans) if not b.furniture and (b.heading or b.linked <= LINK_SHARE * len(b.text))]
+    cover = np.zeros(at, bool) if cover is None else cover
+    wanted = lambda b: b.article or b.main if known else b.heading or b.linked <= LINK_SHARE * len(b.text)
+    allowed = [(b, s, e) for b, (s, e) in zip(blocks, spans) if not b.furniture and wanted(b)]
     out, left = [], 0
     for b, s, e in allowed:
-        # A run counts in a block if it is the whole block, or long enough within it.
+        # A run counts in a block if it is the whole block, or outside articles long enough within it.
         words, own, kept = b.text.split(" "), cover[s:e], []
         edges = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]])))
+        least = len(words) if known else min(MIN_RUN, len(words))
         at = 0
         for first, last in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if last - first >= min(MIN_RUN, len(words)):
+            if last - first >= least:
                 kept += words[at:first]
                 at = last
         kept += words[at:]
@@ -386,6 +401,80 @@ def near_equal(pages: DataFrame) -> DataFrame:
             return labels
 
 
+def cut_shared(first: DataFrame, group_chars: int) -> DataFrame:
+    """Of pages (host, h, text and more) with a declared text, ``text`` without the blocks that most of a host's pages share.
+
+    Groups of a host's texts propose runs by the low 16 bits of their tokens; proposed runs are then
+    counted by whole tokens, over all pages and contents of the host.
+    """
+    texts = first.where("text <> ''")
+    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("n"))
+    hosts = written(hosts.where(F.col("pages") >= MIN_PAGES).select("host", "pages", F.ceil(F.col("n") * 4 / group_chars).cast("int").alias("groups")), "declared-hosts")
+    n = hosts.count()
+    if not n:
+        return first
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, int] = {}
+        for batch in batches:
+            if len(memo) > MEMO:
+                memo.clear()
+            tokens = [token_hashes(lines(t), memo).astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("part"), pa.array(tokens, pa.binary())], ["host", "part", "tokens"])
+
+    def proposed(key: tuple, table: pa.Table) -> pa.Table:
+        runs = frequent([np.frombuffer(t, np.uint16).astype(np.uint64) for t in table.column("tokens").to_pylist()])
+        return pa.table([pa.repeat(pa.scalar(key[0].as_py(), pa.string()), len(runs)), pa.array(runs, pa.int64())], names=["host", "run"])
+
+    dealt = texts.join(F.broadcast(hosts) if n <= MAX_BROADCAST_HOSTS else hosts, "host")
+    dealt = dealt.select("host", F.pmod("h", F.col("groups")).cast("int").alias("part"), "text")
+    often = dealt.mapInArrow(short, "host string, part int, tokens binary").groupBy("host", "part").applyInArrow(proposed, "host string, run bigint")
+    often = written(often, "proposed-runs")
+    if often.isEmpty():
+        return first
+
+    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, int] = {}
+        for batch in batches:
+            if len(memo) > MEMO:
+                memo.clear()
+            out = []
+            for host, text, runs in zip(batch.column("host").to_pylist(), batch.column("text").to_pylist(), batch.column("runs")):
+                x = token_hashes(lines(text), memo)
+                at = np.isin(windows(x.astype(np.uint16).astype(np.uint64)), runs.values.to_numpy())
+                if at.any():
+                    out.append((host, xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63, buckets(x), np.unique(windows(x)[at])))
+            cols = zip(("host", "content", "buckets", "runs"), zip(*out) if out else ((),) * 4, (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_pydict({c: pa.array(list(v), t) for c, v, t in cols})
+
+    runs = often.groupBy("host").agg(F.collect_set("run").alias("runs"))
+    hits = texts.join(runs, "host").select("host", "text", "runs").mapInArrow(hit, "host string, content bigint, buckets array<bigint>, runs array<bigint>")
+    hits = written(hits, "proposed-hits")
+    # One content for equal and near-equal pages, as where no article is declared.
+    hits = hits.join(near_equal(hits.drop("runs")), ["host", "content"], "left").select("host", F.coalesce("label", "content").alias("content"), F.explode("runs").alias("run"))
+    counts = hits.groupBy("host", "run", "content").count().groupBy("host", "run").agg(F.sum("count").alias("on"), F.count(F.lit(1)).alias("contents"))
+    most = counts.join(hosts, "host").where((F.col("contents") >= MIN_PAGES) & (2 * F.col("on") > F.col("pages")))
+    most = written(most.groupBy("host").agg(F.sort_array(F.collect_list("run")).alias("boiler")), "shared-runs")
+    if most.isEmpty():
+        return first
+
+    names = first.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, int] = {}
+        for batch in batches:
+            if len(memo) > MEMO:
+                memo.clear()
+            out = []
+            for text, boiler in zip(batch.column("text").to_pylist(), batch.column("boiler")):
+                blocks = lines(text) if text and boiler.is_valid else []
+                out.append(main_text(blocks, covered(token_hashes(blocks, memo), boiler.values.to_numpy())) if blocks else text)
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array(out, pa.string())).select(names)
+
+    return first.join(most, "host", "left").select(*names, "boiler").mapInArrow(cut, first.schema)
+
+
 def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", group_chars: int = GROUP_CHARS, keep: list[str] | None = None) -> DataFrame:
     """Every row of ``pages`` with new columns ``text`` (never null) and ``n_chars`` (long).
 
@@ -395,8 +484,8 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", gr
     text outside furniture count as one page. Old columns of the new names give way; ``keep`` names the old
     columns wanted, all by default.
 
-    Runs are counted on hosts that have a page without a declared article: on others they
-    could cut nothing.
+    Runs of declared articles are counted on every host, see :func:`cut_shared`; those of whole
+    pages on hosts that have a page without a declared article: on others they could cut nothing.
     """
     schema = add_columns(pages, text=F.lit("x"), n_chars=F.lit(0).cast("long")).schema
     kept = [f for f in schema.fields[:-2] if keep is None or f.name in keep]
@@ -414,7 +503,7 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", gr
                 for h in rows.column("html").to_pylist():
                     blocks = page_blocks(h)
                     known = not blocks or declares(blocks)
-                    text.append(main_text(blocks, np.zeros(0, bool)) if known else None)
+                    text.append(main_text(blocks) if known else None)
                     left.append(None if known else json.dumps([[b.text, b.linked, b.furniture, b.heading] for b in blocks]))
                     chars.append(len(h or ""))
                 cols = [rows.column(n) for n in (*[o.name for o in others], "host", "h")]
@@ -423,7 +512,8 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", gr
     new = [("host", "string"), ("h", "bigint"), ("text", "string"), ("left", "string"), ("chars", "bigint")]
     first = T.StructType(others + [T.StructField(n, {"string": T.StringType(), "bigint": T.LongType()}[t]) for n, t in new])
     first = written(source.mapInArrow(parsed, first), "parsed")
-    done = first.where("left IS NULL").select(*[F.col(o.name).alias(n) for o, n in zip(others, names)], F.col("text"), F.length("text").cast("long").alias("n_chars"))
+    done = cut_shared(first.where("left IS NULL").select(*[o.name for o in others], "host", "h", "text"), group_chars)
+    done = done.select(*[F.col(o.name).alias(n) for o, n in zip(others, names)], F.col("text"), F.length("text").cast("long").alias("n_chars"))
     sizes = first.groupBy("host").agg(F.sum("chars").alias("chars"), F.max(F.col("left").isNotNull()).alias("open")).where("open")
     groups = written(sizes.select("host", F.greatest(F.lit(1), F.ceil(F.col("chars") / group_chars)).cast("int").alias("groups")), "hosts")
     n = groups.count()

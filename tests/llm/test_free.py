@@ -322,6 +322,32 @@ def test_repeated_matches_brute_force():
     assert dict(zip(ids.tolist(), counts.tolist())) == {w: len(s) for w, s in want.items() if len(s) > 1}
 
 
+def test_notices_within_articles(spark):
+    """Blocks on most of a host's articles go, whatever the groups; lines that fewer articles share stay, and copies keep theirs."""
+    rng = random.Random(7)
+    own = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(40))
+    notice, line = "please read our newsletter each week for news", "this very line stands on just half of all articles"
+    rows, want = [], {}
+
+    def page(k, host, *blocks, text):
+        rows.append((k, f"http://{host}.example/{k}", "<nav>menu</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article><p>out</p>"))
+        want[k] = "\n".join(text)
+
+    for k in range(20):  # the notice on 13 of 20 articles, once within a block, the line on 10
+        t = f"{own()} {notice}" if k == 12 else own()
+        page(k, "a", t, *[notice] * (k < 12), *[line] * (k % 2), text=[t, *[line] * (k % 2)])
+    for k in range(30, 36):  # copies of one article, and another
+        t = t if k < 35 else own()
+        page(k, "b", t, notice, text=[t, notice])
+    for k in range(40, 43):  # fewer pages than a notice asks for
+        t = own()
+        page(k, "c", t, notice, text=[t, notice])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chars in (10**6, 3000, 500):
+        out = {r["page_id"]: (r["text"], r["n_chars"]) for r in H.extract_main_text(df, group_chars=chars).collect()}
+        assert out == {k: (v, len(v)) for k, v in want.items()}, chars
+
+
 def test_hidden_is_an_attribute():
     texts = lambda html: [b.text for b in H.page_blocks(html) if not b.furniture]
     for attr in ('style="overflow: hidden"', 'class="post hidden-print"', 'title="a hidden lake"', "data-hidden=1"):
