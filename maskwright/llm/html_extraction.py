@@ -356,10 +356,16 @@ def main_text(blocks: list[Block], cover: np.ndarray | None = None) -> str:
     cover = np.zeros(at, bool) if cover is None else cover
     wanted = lambda b: b.article or b.main if known else b.heading or b.linked <= LINK_SHARE * len(b.text)
     allowed = [(b, s, e) for b, (s, e) in zip(blocks, spans) if not b.furniture and wanted(b)]
+    if not cover.any():
+        return "\n".join(b.text for b, _, _ in allowed)
     out, left = [], 0
     for b, s, e in allowed:
         # A run counts in a block if it is the whole block, or outside articles long enough within it.
         words, own, kept = b.text.split(" "), cover[s:e], []
+        if not own.any():
+            out.append(b.text)
+            left += e - s
+            continue
         edges = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]])))
         least = len(words) if known else min(MIN_RUN, len(words))
         at = 0
@@ -441,13 +447,14 @@ def cut_shared(first: DataFrame, group_chars: int) -> DataFrame:
             out = []
             for host, text, runs in zip(batch.column("host").to_pylist(), batch.column("text").to_pylist(), batch.column("runs")):
                 x = token_hashes(lines(text), memo)
-                at = np.isin(windows(x.astype(np.uint16).astype(np.uint64)), runs.values.to_numpy())
+                w, runs = windows(x.astype(np.uint16).astype(np.uint64)), runs.values.to_numpy()
+                at = runs[np.minimum(np.searchsorted(runs, w), len(runs) - 1)] == w
                 if at.any():
                     out.append((host, xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63, buckets(x), np.unique(windows(x)[at])))
             cols = zip(("host", "content", "buckets", "runs"), zip(*out) if out else ((),) * 4, (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))
             yield pa.RecordBatch.from_pydict({c: pa.array(list(v), t) for c, v, t in cols})
 
-    runs = often.groupBy("host").agg(F.collect_set("run").alias("runs"))
+    runs = often.groupBy("host").agg(F.sort_array(F.collect_set("run")).alias("runs"))
     hits = texts.join(runs, "host").select("host", "text", "runs").mapInArrow(hit, "host string, content bigint, buckets array<bigint>, runs array<bigint>")
     hits = written(hits, "proposed-hits")
     # One content for equal and near-equal pages, as where no article is declared.
